@@ -9,7 +9,7 @@ from functools import lru_cache
 # Look-alike letters (Greek, Cyrillic, Armenian and phonetic letters drawn like Latin ones).
 GREEK_LIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορ" + "ϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXavop" + "cj"
-CYRILLIC_LIKE = "АВЕЅІЈКМНОРСТУХЬѴаеѕіјорсухѵһԁԛԝӏґё"[:-2]
+CYRILLIC_LIKE = "АВЕЅІЈКМНОРСТУХЬѴаеѕіјорсухѵһԁԛԝӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXbVaesijopcyxvhdqwl"
 OTHER_LIKE = "ոսցօɑɡıԼՕՏ"
 OTHER_AS = "nugoagiLOS"
