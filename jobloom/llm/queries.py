@@ -8,10 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import plain_form, survivor
+from jobloom.llm import names, plain_form, survivor
 from jobloom.session import table
 
 
+def _firms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spellings with their firm, and the target names among them."""
+    target = table(spark, d, "target_companies").select("name", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
+    stored = table(spark, d, "companies").select("name").union(target.select("alias"))
+    nick = target.where("name <> alias").select(F.col("name").alias("name_a"), F.col("alias").alias("name_b"))
+    known = names.firms(stored, table(spark, d, "candidates").select(F.col("company").alias("name")), nick)
+    return known, target.select(F.col("alias").alias("name")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    known, target = _firms(spark, d)
+    pairs = names.same_firm_pairs(known)
+    for n in ("name_1", "name_2"):
+        pairs = pairs.join(F.broadcast(target.select(F.col("name").alias(n), F.lit(True).alias("t" + n))), n, "left")  # a fixed list of 40 firms
+    return pairs.where("tname_1 IS NULL OR tname_2 IS NULL").select("name_1", "name_2")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     c = plain_form.changed_values(table(spark, d, "candidates"), "inbox_id", ["title", "location"])
     r = plain_form.changed_values(table(spark, d, "job_requirements"), "requirement_id", ["requirement"]).distinct()
@@ -54,6 +71,7 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_survivor": p4_survivor,
     "p4_merged": p4_merged,
