@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.functions.text import fold
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import names, plain_form, survivor
-from jobloom.session import table
+from jobloom.llm import names, openings, plain_form, segment_index, survivor
+from jobloom.session import staged, table
 
 
 def _firms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +30,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("tname_1 IS NULL OR tname_2 IS NULL").select("name_1", "name_2")
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, firm, role, level, team, city, body."""
+    j = table(spark, d, "jobs")
+    at = F.coalesce("location", F.get_json_object("payload", "$.location"))
+    j = j.select((F.col("id") - (1 << 40)).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"), F.get_json_object("payload", "$.description").alias("d"))
+    c = table(spark, d, "candidates")
+    c = c.select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location", F.col("description").alias("d"))
+    known, _ = _firms(spark, d)
+    firm = known.select(F.col("name").alias("company"), "firm").distinct()
+    x = j.union(c).join(firm, "company", "left")
+    # a name that is no known firm's is its own firm; no name or a placeholder is none
+    plain = F.trim(F.regexp_replace(fold(F.col("company")), "[^a-z0-9]+", " "))
+    firm = F.coalesce("firm", F.when(~plain.isin(*names.PLACEHOLDERS) & ~F.replace(plain, F.lit(" "), F.lit("")).isin(*names.PLACEHOLDERS), F.xxhash64(plain)))
+    x = x.withColumns({"firm": firm, "o": openings.opening_parts(F.col("title")), "city": openings.city(F.col("location")), "body": F.xxhash64(F.nullif(fold("d"), F.lit("")))})
+    body = F.when(F.col("d").isNotNull(), F.col("body"))
+    return x.select("ord", "key", "firm", "o.role", "o.level", "o.team", "city", body.alias("body"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    most = 3
+    x = _postings(spark, d).where("role IS NOT NULL")
+    text = openings.interleaved(F.col("role"), F.col("team"))
+    whole = F.col("firm").isNotNull() & (F.col("city") != "")
+    x = x.select("ord", "key", text.alias("text"), "body", F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level")
+    x = x.withColumn("entry", F.coalesce(F.xxhash64("block", "text"), F.xxhash64("ord")))
+    x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.col("entry")))
+    x = staged(x, "postings")
+    links = segment_index.link_entries(segment_index.as_entries(x), most)
+    # the same key is the same posting; a row without firm or city has no block and is known by its exact text
+    by_key = x.where("ord > 0").groupBy("key").agg(F.min("entry").alias("entry_a"), F.max("entry").alias("entry_b")).where("entry_a <> entry_b")
+    by_key = x.where("ord > 0").join(by_key.select("key", "entry_a"), "key").select("entry_a", F.col("entry").alias("entry_b"))
+    open_ = x.where("block IS NULL AND body IS NOT NULL").select("body", "level").distinct()
+    by_text = x.join(open_, ["body", "level"]).groupBy("body", "level").agg(F.min("entry").alias("entry_a"))
+    by_text = x.join(by_text, ["body", "level"]).select("entry_a", F.col("entry").alias("entry_b"))
+    found = segment_index.first_arrivals(x, links.union(by_key).union(by_text).where("entry_a <> entry_b"))
+    prior = x.select(F.col("ord").alias("first"), F.col("key").alias("prior_key"))
+    return found.where("first < ord AND ord > 0").join(prior, "first").select(F.col("ord").alias("inbox_id"), "prior_key")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     c = plain_form.changed_values(table(spark, d, "candidates"), "inbox_id", ["title", "location"])
     r = plain_form.changed_values(table(spark, d, "job_requirements"), "requirement_id", ["requirement"]).distinct()
@@ -72,6 +112,7 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_survivor": p4_survivor,
     "p4_merged": p4_merged,
