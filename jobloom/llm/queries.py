@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import fold
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import names, openings, plain_form, segment_index, survivor
+from jobloom.llm import names, openings, order_minhash, plain_form, segment_index, survivor
 from jobloom.session import staged, table
 
 
@@ -69,6 +69,51 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("first < ord AND ord > 0").join(prior, "first").select(F.col("ord").alias("inbox_id"), "prior_key")
 
 
+# Word-level share of an opening's text that its edited copies keep; texts of different openings keep less than half.
+SAME_OPENING = 0.65
+
+
+def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, class) of candidates whose descriptions are near-duplicates; a row without a description is known by its
+    title, level, city and the company's own words, or by its candidate_key."""
+    c = table(spark, d, "candidates")
+    rows = c.select(F.col("inbox_id").alias("id"), order_minhash.words(F.col("description")).alias("symbols"), F.lit(0).cast("long").alias("scope"))
+    links = order_minhash.near_duplicates(rows, "candidate-sketches", least=SAME_OPENING)
+    own = names.read_names(c, "company").select(F.col("name").alias("company"), "own")
+    bare = F.coalesce(F.trim("description"), F.lit("")) == ""
+    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), openings.opening_parts(F.col("title")).alias("o"), openings.city(F.col("location")).alias("city"))
+    head = head.join(own, "company", "left")
+    text = F.concat_ws(" ", "o.role", "o.team")
+    scope = F.when(F.col("own").isNotNull() & (F.col("city") != ""), F.xxhash64("own", "o.level", "city"))
+    head = staged(head.select(F.col("inbox_id").alias("id"), "candidate_key", "bare", text.alias("text"), scope.alias("scope")), "candidate-heads")
+    near = head.join(head.where("bare").select("scope").distinct(), "scope", "left_semi")
+    heads = order_minhash.near_duplicates(near.select("id", order_minhash.letters(F.col("text")).alias("symbols"), "scope"), "head-sketches", least=0.9, band=8)
+    t = near.select("id", "text")
+    heads = heads.join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select("a", "b")
+    keys = head.join(head.where("bare").select("candidate_key").distinct(), "candidate_key", "left_semi")
+    keys = keys.join(keys.groupBy("candidate_key").agg(F.min("id").alias("a")), "candidate_key").where("a < id").select("a", F.col("id").alias("b"))
+    return order_minhash.classes(links.union(heads).union(keys))
+
+
+def _job_classes(spark: SparkSession, d: str) -> DataFrame:
+    text = order_minhash.words(F.get_json_object("payload", "$.description"))
+    rows = table(spark, d, "jobs").select("id", text.alias("symbols"), F.lit(0).cast("long").alias("scope"))
+    return order_minhash.classes(order_minhash.near_duplicates(rows, "job-sketches", least=SAME_OPENING))
+
+
+def _requirement_classes(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "job_requirements").select("requirement_id", "job_key", "requirement").distinct()
+    rows = r.select(F.col("requirement_id").alias("id"), order_minhash.letters(F.col("requirement")).alias("symbols"), F.xxhash64("job_key").alias("scope"))
+    return order_minhash.classes(order_minhash.near_duplicates(rows, "requirement-sketches", k=4, band=16))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"job": _job_classes, "candidate": _candidate_classes, "requirement": _requirement_classes}
+    parts = [order_minhash.pairs_of(f(spark, d)).select(F.lit(kind).alias("record_kind"), "id_1", "id_2") for kind, f in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     c = plain_form.changed_values(table(spark, d, "candidates"), "inbox_id", ["title", "location"])
     r = plain_form.changed_values(table(spark, d, "job_requirements"), "requirement_id", ["requirement"]).distinct()
@@ -113,6 +158,7 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_survivor": p4_survivor,
     "p4_merged": p4_merged,
