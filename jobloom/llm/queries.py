@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import fold
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import names, openings, order_minhash, plain_form, segment_index, survivor
+from jobloom.llm import mixing, names, openings, order_minhash, packing, plain_form, segment_index, survivor, tokens
 from jobloom.session import staged, table
 
 
@@ -155,6 +155,44 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     return survivor.merged(s, ["job_key", "page"], "source_id", F.col("_priority"), F.col("last_verified_at"), fields)
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return staged(tokens.with_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text"), "sized")
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sized(spark, d)
+    parts = []
+    for r in table(spark, d, "pack_sizes").orderBy("capacity_tokens").collect():  # a fixed list of three
+        x = packing.packed(sized, "doc_id", "n_tokens", r.capacity_tokens)
+        parts.append(x.select(F.lit(r.size_name).alias("size_name"), "container_id", "place", "doc_id", "piece", "start", "length"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes").withColumnRenamed("capacity_tokens", "capacity")
+    x = p7_pack(spark, d).groupBy("size_name").agg((F.max("container_id") + 1).alias("containers"), F.count("*").alias("pieces"), F.sum("length").alias("tokens"))
+    x = x.join(F.broadcast(sizes), "size_name")
+    return x.select("size_name", "capacity", "containers", "pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id")[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id")[1]
+
+
+def p8_shares_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the sources with a target hold: repetition limits keep the exponent below 1."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    all_tokens = sized.join(F.broadcast(targets), "source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mixing.mix(sized, targets, "doc_id", budget=float(all_tokens))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -164,6 +202,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_merged": p4_merged,
     "p6_found": p6_found,
     "p6_plain_titles": p6_plain_titles,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p8_shares_tempered": p8_shares_tempered,
 }
 
 _PAGE = f"""
