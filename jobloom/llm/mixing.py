@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from jobloom.session import staged
 
 BLOCKS = 1024
+ROUNDS = 4  # a document too long for what is left of a budget ends a round; the next goes on behind it
 
 
 def weights(natural: dict[str, float], target: dict[str, float], exponent: float) -> dict[str, float]:
@@ -68,6 +69,21 @@ def temperature(natural: dict[str, float], target: dict[str, float], repeats: di
     return x, budget
 
 
+def _partial_pass(x: DataFrame, quota: DataFrame, id_column: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, edges): documents (id, source, n_tokens) of the blocks after _after, in block order, that fit into
+    _rest, and for each source the block (_edge) in which the rest ran out."""
+    x = x.join(F.broadcast(quota), "source").where("_block > _after AND n_tokens <= _rest AND n_tokens > 0")
+    blocks = x.groupBy("source", "_block").agg(F.sum("n_tokens").alias("_n"), F.first("_rest").alias("_rest"))
+    order = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = staged(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))), "mix-blocks")
+    edges = blocks.where("_before + _n > _rest").groupBy("source").agg(F.min("_block").alias("_edge"), F.min("_before").alias("_before"))
+    x = x.join(F.broadcast(edges), "source", "left")  # at most one row a target
+    whole = x.where("_edge IS NULL OR _block < _edge").select(id_column, "source", "n_tokens")
+    run = W.partitionBy("source").orderBy(F.xxhash64(id_column, F.lit(seed + 1)), id_column)  # one block of each source
+    inner = x.where("_block = _edge").withColumn("_sum", F.sum("n_tokens").over(run))
+    return whole.union(inner.where("_before + _sum <= _rest").select(id_column, "source", "n_tokens")), edges.select("source", "_edge")
+
+
 def mix(sized: DataFrame, targets: DataFrame, id_column: str, budget: float | None = None, wished_entropy: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents, shares) for sized (id, source, n_tokens) and targets (source, target_share, max_repeats).
 
@@ -75,34 +91,33 @@ def mix(sized: DataFrame, targets: DataFrame, id_column: str, budget: float | No
     with available and used tokens, reached share, passes and limit. Without a budget it is the largest that gives
     every target exactly. Null sources and sizes are used 0 times; of a source's repeated targets the first counts.
     """
+    spark = sized.sparkSession
     t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     block = F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(BLOCKS)).cast("int")
     x = sized.select(id_column, "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), block.alias("_block"))
-    per_block = staged(x.join(F.broadcast(t), "source").groupBy("source", "_block").agg(F.sum("n_tokens").alias("n")), "mix-blocks")
-    natural = {r.source: float(r.n or 0) for r in per_block.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most one row a target
+    known = x.join(F.broadcast(t.select("source")), "source")
+    natural = {r.source: float(r.n or 0) for r in known.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # at most one row a target
     rows = t.collect()  # the fixed list of targets
     target, repeats = {r.source: r.target_share for r in rows}, {r.source: max(0, r.max_repeats) for r in rows}
     target = {k: v for k, v in target.items() if repeats[k] > 0}
     budget = exact_budget(natural, target, repeats) if budget is None else budget
     exponent, budget = temperature(natural, target, repeats, budget, wished_entropy)
     w = weights(natural, target, exponent)
-    spark = sized.sparkSession
-    quota = []
-    for k, v in w.items():
-        passes = min(int(v * budget / natural[k] + 1e-9), repeats[k])
-        rest = int(v * budget - passes * natural[k] + 1e-6) if passes < repeats[k] else 0
-        quota.append((k, passes, max(0, rest)))
-    q = F.broadcast(spark.createDataFrame(quota, "source string, _passes int, _rest long"))
-    order = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    edge = per_block.select("source", "_block", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before")).join(q, "source")
-    edge = edge.select("source", "_block", "_passes", "_rest", "_before", (F.col("_before") + F.col("n") <= F.col("_rest")).alias("_whole"), ((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest"))).alias("_edge"))
-    x = x.join(F.broadcast(edge), ["source", "_block"], "left")  # at most one row a target and block
-    # inside a boundary block, of which each source has one
-    inner = x.where("_edge").select(id_column, "source", "n_tokens", "_before", "_rest", "_block")
-    run = W.partitionBy("source", "_block").orderBy(F.xxhash64(id_column, F.lit(seed + 1)), id_column)
-    inner = inner.withColumn("_sum", F.sum("n_tokens").over(run)).where("_before + _sum <= _rest").select(id_column, F.lit(1).alias("_in"))
-    x = x.join(inner, id_column, "left")
-    times = F.coalesce("_passes", F.lit(0)) + F.when(F.col("_whole"), 1).otherwise(F.coalesce("_in", F.lit(0)))
+    passes = {k: min(int(v * budget / natural[k] + 1e-9), repeats[k]) for k, v in w.items()}
+    rest = {k: max(0, int(v * budget - passes[k] * natural[k] + 1e-6)) if passes[k] < repeats[k] else 0 for k, v in w.items()}
+    chosen, after = None, dict.fromkeys(w, -1)
+    for _ in range(ROUNDS):
+        q = spark.createDataFrame([(k, r, after[k]) for k, r in rest.items() if r > 0 and after[k] < BLOCKS], "source string, _rest long, _after int")
+        part, edges = _partial_pass(x, q, id_column, seed)
+        part = staged(part, "mix-pass")
+        chosen = part.select(id_column) if chosen is None else chosen.union(part.select(id_column))
+        for r in part.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():  # at most one row a target
+            rest[r.source] -= r.n
+        ends = {r.source: r["_edge"] for r in edges.collect()}  # at most one row a target
+        after = {k: ends.get(k, BLOCKS) for k in after}
+    quota = F.broadcast(spark.createDataFrame(list(passes.items()), "source string, _passes int"))
+    x = x.join(quota, "source", "left").join(chosen.withColumn("_in", F.lit(1)), id_column, "left")
+    times = F.coalesce("_passes", F.lit(0)) + F.coalesce("_in", F.lit(0))
     docs = x.select(id_column, "source", "n_tokens", times.cast("int").alias("times"))
     used = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.sum(F.col("n_tokens") * F.col("times")).alias("used"), F.max("times").alias("most_times"))
     s = t.join(used, "source", "left").na.fill(0, ["available", "used", "most_times"])

@@ -187,10 +187,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares_tempered(spark: SparkSession, d: str) -> DataFrame:
-    """As many tokens as the sources with a target hold: repetition limits keep the exponent below 1."""
+    """Half as many tokens as the sources with a target hold: repetition limits keep the exponent below 1."""
     sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
     all_tokens = sized.join(F.broadcast(targets), "source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    return mixing.mix(sized, targets, "doc_id", budget=float(all_tokens))[1]
+    return mixing.mix(sized, targets, "doc_id", budget=all_tokens / 2)[1]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
