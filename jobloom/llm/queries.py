@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import fold
 from jobloom.functions.urls import TRACKING, page_key
 from jobloom.llm import mixing, names, openings, order_minhash, packing, plain_form, segment_index, survivor, tokens
 from jobloom.session import staged, table
@@ -39,13 +38,14 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     c = c.select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location", F.col("description").alias("d"))
     known, _ = _firms(spark, d)
     firm = known.select(F.col("name").alias("company"), "firm").distinct()
-    x = j.union(c).join(firm, "company", "left")
+    x = j.union(c)
+    other = names.read_names(x, "company").select(F.col("name").alias("company"), F.concat_ws("|", "own", "biz").alias("other"))
+    x = x.join(other, "company", "left").join(firm, "company", "left")
     # a name that is no known firm's is its own firm; no name or a placeholder is none
-    plain = F.trim(F.regexp_replace(fold(F.col("company")), "[^a-z0-9]+", " "))
-    firm = F.coalesce("firm", F.when(~plain.isin(*names.PLACEHOLDERS) & ~F.replace(plain, F.lit(" "), F.lit("")).isin(*names.PLACEHOLDERS), F.xxhash64(plain)))
-    x = x.withColumns({"firm": firm, "o": openings.opening_parts(F.col("title")), "city": openings.city(F.col("location")), "body": F.xxhash64(F.nullif(fold("d"), F.lit("")))})
-    body = F.when(F.col("d").isNotNull(), F.col("body"))
-    return x.select("ord", "key", "firm", "o.role", "o.level", "o.team", "city", body.alias("body"))
+    firm = F.coalesce("firm", F.xxhash64("other"))
+    x = x.select("ord", "key", "title", "location", firm.alias("firm"), F.nullif(F.trim("d"), F.lit("")).alias("d"))
+    x = x.select("ord", "key", "title", "location", "firm", F.when(F.col("d").isNotNull(), F.xxhash64("d")).alias("body"))
+    return openings.with_opening(x, "title", "location")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +54,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     text = openings.interleaved(F.col("role"), F.col("team"))
     whole = F.col("firm").isNotNull() & (F.col("city") != "")
     x = x.select("ord", "key", text.alias("text"), "body", F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level")
-    x = x.withColumn("entry", F.coalesce(F.xxhash64("block", "text"), F.xxhash64("ord")))
-    x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.col("entry")))
+    x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.xxhash64("block", "text")))
     x = staged(x, "postings")
     links = segment_index.link_entries(segment_index.as_entries(x), most)
     # the same key is the same posting; a row without firm or city has no block and is known by its exact text
@@ -77,17 +76,17 @@ def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
     """(id, class) of candidates whose descriptions are near-duplicates; a row without a description is known by its
     title, level, city and the company's own words, or by its candidate_key."""
     c = table(spark, d, "candidates")
-    rows = c.select(F.col("inbox_id").alias("id"), order_minhash.words(F.col("description")).alias("symbols"), F.lit(0).cast("long").alias("scope"))
+    rows = c.select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.lit(0).cast("long").alias("scope"))
     links = order_minhash.near_duplicates(rows, "candidate-sketches", least=SAME_OPENING)
     own = names.read_names(c, "company").select(F.col("name").alias("company"), "own")
     bare = F.coalesce(F.trim("description"), F.lit("")) == ""
-    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), openings.opening_parts(F.col("title")).alias("o"), openings.city(F.col("location")).alias("city"))
-    head = head.join(own, "company", "left")
-    text = F.concat_ws(" ", "o.role", "o.team")
-    scope = F.when(F.col("own").isNotNull() & (F.col("city") != ""), F.xxhash64("own", "o.level", "city"))
+    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), "title", "location").join(own, "company", "left")
+    head = openings.with_opening(head, "title", "location")
+    text = F.concat_ws(" ", "role", "team")
+    scope = F.when(F.col("own").isNotNull() & (F.col("city") != ""), F.xxhash64("own", "level", "city"))
     head = staged(head.select(F.col("inbox_id").alias("id"), "candidate_key", "bare", text.alias("text"), scope.alias("scope")), "candidate-heads")
     near = head.join(head.where("bare").select("scope").distinct(), "scope", "left_semi")
-    heads = order_minhash.near_duplicates(near.select("id", order_minhash.letters(F.col("text")).alias("symbols"), "scope"), "head-sketches", least=0.9, band=8)
+    heads = order_minhash.near_duplicates(near, "head-sketches", "letters", least=0.9, band=8)
     t = near.select("id", "text")
     heads = heads.join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select("a", "b")
@@ -97,15 +96,15 @@ def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job_classes(spark: SparkSession, d: str) -> DataFrame:
-    text = order_minhash.words(F.get_json_object("payload", "$.description"))
-    rows = table(spark, d, "jobs").select("id", text.alias("symbols"), F.lit(0).cast("long").alias("scope"))
+    text = F.get_json_object("payload", "$.description")
+    rows = table(spark, d, "jobs").select("id", text.alias("text"), F.lit(0).cast("long").alias("scope"))
     return order_minhash.classes(order_minhash.near_duplicates(rows, "job-sketches", least=SAME_OPENING))
 
 
 def _requirement_classes(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "job_requirements").select("requirement_id", "job_key", "requirement").distinct()
-    rows = r.select(F.col("requirement_id").alias("id"), order_minhash.letters(F.col("requirement")).alias("symbols"), F.xxhash64("job_key").alias("scope"))
-    return order_minhash.classes(order_minhash.near_duplicates(rows, "requirement-sketches", k=4, band=16))
+    rows = r.select(F.col("requirement_id").alias("id"), F.col("requirement").alias("text"), F.xxhash64("job_key").alias("scope"))
+    return order_minhash.classes(order_minhash.near_duplicates(rows, "requirement-sketches", "letters", k=4, band=16))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
