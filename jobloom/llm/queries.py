@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import mixing, names, openings, order_minhash, packing, plain_form, segment_index, survivor, tokens
+from jobloom.llm import canonical, mixing, names, openings, order_minhash, packing, plain_form, segment_index, survivor, tokens
 from jobloom.session import staged, table
 
 
@@ -113,6 +113,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "job_requirements").select("requirement_id", "category", "skill", "subskill", "requirement")
+    return canonical.mapped(spark, r, table(spark, d, "skill_catalog"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     c = plain_form.changed_values(table(spark, d, "candidates"), "inbox_id", ["title", "location"])
     r = plain_form.changed_values(table(spark, d, "job_requirements"), "requirement_id", ["requirement"]).distinct()
@@ -199,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_survivor": p4_survivor,
     "p4_merged": p4_merged,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_plain_titles": p6_plain_titles,
     "p7_pack": p7_pack,
