@@ -1,0 +1,151 @@
+"""HTML pages: job postings in JSON-LD, sections of requirements, links. Markup needs a parser, so these run as Arrow
+batches in Python; everything after them is columns again."""
+
+from __future__ import annotations
+
+import html
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+LINE_TAGS = frozenset("p li div br h1 h2 h3 h4 h5 h6 strong b tr section ul ol".split())
+HEAD_TAGS = frozenset("h1 h2 h3 h4 h5 h6 strong b".split())
+# Words that open a section, by kind.
+SECTIONS = {
+    "differentials": r"diferencia|desejave|desejavel|nice to have|plus|preferred|seria um plus",
+    "requirements": r"requisito|qualifica|o que (esperamos|buscamos|precisa)|o que voce precisa|requirements|what you need|must have|perfil",
+    "duties": r"responsabilidade|atividades|atribui|o que voce vai fazer|seu dia|responsibilities|what you.ll do|desafios",
+    "stop": r"beneficio|oferecemos|sobre nos|sobre a empresa|benefits|what we offer|processo seletivo|etapas|como se candidatar",
+}
+
+
+class _Lines(HTMLParser):
+    """(is heading, text) of the lines of a page, its links and its ld+json scripts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: list[tuple[bool, str]] = []
+        self.links: list[str] = []
+        self.scripts: list[str] = []
+        self._text: list[str] = []
+        self._head = self._skip = self._ld = False
+
+    def _flush(self) -> None:
+        t = re.sub(r"\s+", " ", "".join(self._text)).strip(" \t-*•·")
+        if t:
+            self.lines.append((self._head, t))
+        self._text = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = dict(attrs)
+        if tag in ("script", "style"):
+            self._skip = True
+            self._ld = tag == "script" and "ld+json" in (a.get("type") or "")
+        if tag == "a" and a.get("href"):
+            self.links.append(a["href"] or "")
+        if tag in LINE_TAGS:
+            self._flush()
+            self._head = tag in HEAD_TAGS
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self._skip = self._ld = False
+        if tag in LINE_TAGS:
+            self._flush()
+            self._head = False
+
+    def handle_data(self, data: str) -> None:
+        if self._ld:
+            self.scripts.append(data)
+        elif not self._skip:
+            for i, part in enumerate(data.split("\n")):
+                if i:
+                    self._flush()
+                self._text.append(part)
+
+
+def read_page(text: str) -> _Lines:
+    p = _Lines()
+    p.feed(text)
+    p.close()
+    p._flush()
+    return p
+
+
+def tolerant_json(text: str) -> object:
+    """JSON that may be escaped as HTML up to twice; None if it can't be read."""
+    for _ in range(3):
+        try:
+            return json.loads(text)
+        except ValueError:
+            text = html.unescape(text)
+    return None
+
+
+def find_posting(node: object) -> dict | None:
+    """The first object of @type JobPosting, depth first in document order."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            if x.get("@type") == "JobPosting":
+                return x
+            stack += reversed(list(x.values()))
+        elif isinstance(x, list):
+            stack += reversed(x)
+    return None
+
+
+def _plain(text: str) -> str:
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
+
+
+def sections(lines: list[tuple[bool, str]], most: int = 700) -> dict[str, list[str]]:
+    """Lines under headings for requirements, differentials and duties; a heading of any other kind ends a section. A
+    short line that ends in a colon is a heading too."""
+    out: dict[str, list[str]] = {"requirements": [], "differentials": [], "duties": []}
+    mode = ""
+    for head, text in lines:
+        if head or (len(text) < 60 and text.endswith(":")):
+            x = _plain(text)
+            mode = next((k for k, p in SECTIONS.items() if re.search(p, x)), "" if head else mode)
+        elif mode in out and 3 <= len(text) <= most and text not in out[mode]:
+            out[mode].append(text)
+    return out
+
+
+PARSED = "requirements array<string>, differentials array<string>, duties array<string>, links array<string>, posting string, n_lines int"
+
+
+def parse_pages(rows: DataFrame, text: str) -> DataFrame:
+    """rows without the text column, with its sections, distinct links in order, the JSON-LD posting (as JSON, null
+    without one) and the number of lines. A null text has none of them."""
+    keep = [f for f in rows.schema.fields if f.name != text]
+    names = [f.name for f in keep]
+    parsed = StructType.fromDDL(PARSED)
+    if clash := sorted(set(names) & set(parsed.names)):
+        raise ValueError(f"columns exist already: {clash}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
+        for b in batches:
+            i = b.schema.names.index(text)
+            cols: list[list] = [[] for _ in parsed.names]
+            for t in b.column(i).to_pylist():
+                p = read_page(t or "")
+                s = sections(p.lines)
+                posting = next((x for x in map(find_posting, map(tolerant_json, p.scripts)) if x), None)
+                row = (s["requirements"], s["differentials"], s["duties"], list(dict.fromkeys(p.links)), json.dumps(posting, ensure_ascii=False) if posting else None, len(p.lines))
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            kinds = (strings, strings, strings, strings, pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(j) for j in range(b.num_columns) if j != i] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names + parsed.names)
+
+    return rows.mapInArrow(run, StructType(keep + parsed.fields))
