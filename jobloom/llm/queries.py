@@ -56,7 +56,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     x = x.select("ord", "key", text.alias("text"), "body", F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level")
     x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.xxhash64("block", "text")))
     x = staged(x, "postings")
-    links = segment_index.link_entries(segment_index.as_entries(x), most)
+    links = segment_index.link_entries(staged(segment_index.as_entries(x), "entries"), most)
     # the same key is the same posting; a row without firm or city has no block and is known by its exact text
     by_key = x.where("ord > 0").groupBy("key").agg(F.min("entry").alias("entry_a"), F.max("entry").alias("entry_b")).where("entry_a <> entry_b")
     by_key = x.where("ord > 0").join(by_key.select("key", "entry_a"), "key").select("entry_a", F.col("entry").alias("entry_b"))

@@ -12,40 +12,104 @@ join everything. Nothing is capped: every substring that can match is probed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm.order_minhash import mix
+from jobloom.llm.plain_form import code_points
+
 from jobloom.session import staged
 
 
-def _parts(length: str, i: str, k: int) -> tuple[str, str]:
-    """SQL of the start (from 0) and length of segment i of a text of some length."""
-    n, rest = f"({length} div {k + 1})", f"({length} % {k + 1})"
-    return f"({i} * {n} + greatest(0, {i} - ({k + 1} - {rest})))", f"({n} + if({i} >= {k + 1} - {rest}, 1, 0))"
+P = np.uint64(0x100000001B3)
+
+
+class _Texts:
+    """Code points of a batch of texts with rolling hashes, so that any substring's hash costs a few array operations."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        names = batch.schema.names
+        c, self.bounds = code_points(batch.column(names.index("text")))
+        self.block = np.asarray(batch.column(names.index("block")), dtype=np.int64).view(np.uint64)
+        self.entry = np.asarray(batch.column(names.index("entry")), dtype=np.int64)
+        self.length = np.diff(self.bounds)
+        self.power = np.cumprod(np.concatenate(([1], np.full(len(c), P, np.uint64))).astype(np.uint64))
+        # prefix sums of c[i] * P ** i; a substring's sum is brought to a common place by multiplying up
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(c.astype(np.uint64)) * self.power[: len(c)])))
+        self.n = len(c)
+
+    def keys(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+        """Keys of the substrings (start, size) of rows as segment i of a text of some length."""
+        at = self.bounds[rows] + start
+        own = (self.prefix[at + size] - self.prefix[at]) * self.power[self.n - at] * self.lift
+        return mix(own ^ mix(self.block[rows] + mix((length * 64 + i).astype(np.uint64)))).view(np.int64)
+
+    lift = np.uint64(1)
+
+
+def _rolling(batch: pa.RecordBatch) -> _Texts:
+    """Hashes must not depend on the batch: what stands at place p of a batch carries P ** p, and multiplying by
+    P ** (n - p) leaves P ** n, which its inverse takes away."""
+    t = _Texts(batch)
+    t.lift = np.uint64(pow(pow(int(P), -1, 1 << 64), t.n, 1 << 64))
+    return t
+
+
+def _cut(length: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (from 0) and size of segment i of texts of some lengths, cut into k + 1."""
+    n, rest = length // (k + 1), length % (k + 1)
+    return i * n + np.maximum(0, i - (k + 1 - rest)), n + (i >= k + 1 - rest)
+
+
+def _emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    entries = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(entries)], names=["key", "entry"])
 
 
 def segments(entries: DataFrame, most: int) -> DataFrame:
-    """The index rows of entries (block long, text): key, entry, text. Keys hash block, length, place and segment."""
-    p, n = _parts("length(text)", "i", most)
-    keys = f"transform(sequence(0, {most}), i -> xxhash64(block, length(text), i, substring(text, {p} + 1, {n})))"
-    x = entries.where(f"length(text) >= {4 * (most + 1)}")
-    return x.select(F.explode(F.expr(keys)).alias("key"), "entry", "text")
+    """The index rows of entries (block long, text, entry): key, entry. Keys hash block, length, place and segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = _rolling(b)
+            rows = np.flatnonzero(t.length >= 4 * (most + 1))
+            length = t.length[rows]
+            yield _emit([(t.keys(rows, *_cut(length, i, most), length, i), t.entry[rows]) for i in range(most + 1)])
+
+    return entries.select("block", "text", "entry").mapInArrow(run, "key long, entry long")
 
 
 def probes(entries: DataFrame, most: int, both_ways: bool) -> DataFrame:
-    """The substrings of entries that can equal a segment of a text within `most` edits: key, entry, text.
+    """The substrings of entries that can equal a segment of a text within `most` edits: key, entry.
 
     both_ways: against texts of any length; else only against texts that aren't longer (enough for joining a set with
     itself)."""
-    k, up = most, most if both_ways else 0
-    p, n = _parts("m", "i", k)
-    lo = f"greatest(0, {p} - i, {p} + length(text) - m - ({k} - i))"
-    hi = f"least(length(text) - {n}, {p} + i, {p} + length(text) - m + ({k} - i))"
-    keys = f"""flatten(transform(sequence(greatest(length(text) - {k}, {4 * (k + 1)}), length(text) + {up}), m ->
-        flatten(transform(sequence(0, {k}), i -> if({lo} > {hi}, cast(array() as array<bigint>),
-            transform(sequence({lo}, greatest({lo}, {hi})), s -> xxhash64(block, m, i, substring(text, s + 1, {n})))))))) """
-    x = entries.where(f"length(text) + {up} >= {4 * (k + 1)}")
-    return x.select(F.explode(F.expr(keys)).alias("key"), "entry", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = _rolling(b)
+            parts = []
+            for delta in range(-most if both_ways else 0, most + 1):  # own length less the other's
+                other = t.length - delta
+                full = np.flatnonzero(other >= 4 * (most + 1))
+                for i in range(most + 1):
+                    start, size = _cut(other[full], i, most)
+                    lo = np.maximum(0, np.maximum(start - i, start + delta - (most - i)))
+                    hi = np.minimum(t.length[full] - size, np.minimum(start + i, start + delta + (most - i)))
+                    for step in range(2 * most + 1):
+                        ok = lo + step <= hi
+                        if not ok.any():
+                            break
+                        rows = full[ok]
+                        parts.append((t.keys(rows, (lo + step)[ok], size[ok], other[rows], i), t.entry[rows]))
+            yield _emit(parts)
+
+    return entries.select("block", "text", "entry").mapInArrow(run, "key long, entry long")
 
 
 def alike(a: Column, b: Column, most: int) -> Column:
@@ -59,12 +123,14 @@ def alike(a: Column, b: Column, most: int) -> Column:
     return near & same_digits & ((F.size(x) != F.size(y)) | F.forall(close, lambda c: c))
 
 
-def matches(probe: DataFrame, index: DataFrame, most: int) -> DataFrame:
-    """(entry_a, entry_b): probing and stored entries whose texts are alike; entries don't match themselves."""
-    a = probe.select("key", F.col("entry").alias("entry_a"), F.col("text").alias("text_a"))
-    b = index.select("key", F.col("entry").alias("entry_b"), F.col("text").alias("text_b"))
-    x = a.join(b, "key").where("entry_a <> entry_b").where(alike(F.col("text_a"), F.col("text_b"), most))
-    return x.select("entry_a", "entry_b").distinct()
+def matches(probe: DataFrame, index: DataFrame, texts_a: DataFrame, texts_b: DataFrame, most: int) -> DataFrame:
+    """(entry_a, entry_b): probing and stored entries whose texts (entry, text) are alike; entries don't match
+    themselves."""
+    x = probe.select("key", F.col("entry").alias("entry_a")).join(index.select("key", F.col("entry").alias("entry_b")), "key")
+    x = x.where("entry_a <> entry_b").select("entry_a", "entry_b").distinct()
+    x = x.join(texts_a.select(F.col("entry").alias("entry_a"), F.col("text").alias("text_a")), "entry_a")
+    x = x.join(texts_b.select(F.col("entry").alias("entry_b"), F.col("text").alias("text_b")), "entry_b")
+    return x.where(alike(F.col("text_a"), F.col("text_b"), most)).select("entry_a", "entry_b")
 
 
 def as_entries(rows: DataFrame) -> DataFrame:
@@ -74,38 +140,32 @@ def as_entries(rows: DataFrame) -> DataFrame:
 
 
 class SegmentIndex:
-    """An index kept as a table under path: append(rows) adds a batch, repeats(rows) finds what a batch repeats of
-    earlier batches and of itself. Rows are (block, text, ord); ord rises with arrival and is unique."""
+    """An index kept as tables under path: append(rows) adds a batch, repeats(rows) finds what a batch repeats of
+    earlier batches and of itself. Rows are (block, text, ord); ord rises with arrival and is unique. A batch reads the
+    segments and, of the texts, those of entries it shares a segment with; never the rows of history."""
 
     def __init__(self, spark, path: str, most: int = 3):
         self.spark, self.path, self.most = spark, path, most
         self.batches = 0
 
-    def _read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.batches else None
-
     def append(self, rows: DataFrame) -> None:
         e = as_entries(rows)
-        # one row a segment, and one (key: the entry itself) that answers for equal texts, short ones too
-        whole = e.select(F.col("entry").alias("key"), "entry", "text")
-        s = segments(e, self.most).union(whole).join(e.select("entry", "ord"), "entry")
-        s.select("key", "entry", "text", "ord").write.mode("append").parquet(self.path)
+        segments(e, self.most).write.mode("append").parquet(f"{self.path}/segments")
+        e.select("entry", "text", "ord").write.mode("append").parquet(f"{self.path}/texts")
         self.batches += 1
 
     def repeats(self, rows: DataFrame) -> DataFrame:
         """(ord, prior): rows of the batch with an earlier arrival of an alike text, and the first such arrival."""
         e = as_entries(rows)
-        own = e.select(F.col("entry").alias("entry_a"), F.col("entry").alias("entry_b"))
-        fresh = segments(e, self.most).join(e.select("entry", "ord"), "entry").select("key", "entry", "text", "ord")
-        fresh = fresh.union(e.select(F.col("entry").alias("key"), "entry", "text", "ord"))
-        stored = self._read()
-        index = fresh if stored is None else fresh.union(stored)
-        p = probes(e, self.most, True)
-        a = p.select("key", F.col("entry").alias("entry_a"), F.col("text").alias("text_a"))
-        b = index.select("key", F.col("entry").alias("entry_b"), F.col("text").alias("text_b"), "ord")
-        x = a.join(b, "key").where("entry_a <> entry_b").where(alike(F.col("text_a"), F.col("text_b"), self.most))
-        same = own.select("entry_a").join(index.where("key = entry").select(F.col("entry").alias("entry_a"), "ord"), "entry_a")
-        first = x.select("entry_a", "ord").union(same).groupBy("entry_a").agg(F.min("ord").alias("prior"))
+        index, texts = segments(e, self.most), e.select("entry", "text", "ord")
+        if self.batches:
+            index = index.union(self.spark.read.parquet(f"{self.path}/segments"))
+            texts = texts.union(self.spark.read.parquet(f"{self.path}/texts"))
+        # an entry may have arrived in several batches
+        texts = texts.groupBy("entry").agg(F.first("text").alias("text"), F.min("ord").alias("ord"))
+        x = matches(probes(e, self.most, True), index, e, texts, self.most)
+        x = x.union(e.select(F.col("entry").alias("entry_a"), F.col("entry").alias("entry_b")))
+        first = x.join(texts.select(F.col("entry").alias("entry_b"), "ord"), "entry_b").groupBy("entry_a").agg(F.min("ord").alias("prior"))
         r = rows.select("ord", F.xxhash64("block", "text").alias("entry_a")).join(first, "entry_a")
         return r.where("prior < ord").select("ord", "prior")
 
@@ -113,7 +173,7 @@ class SegmentIndex:
 def link_entries(entries: DataFrame, most: int) -> DataFrame:
     """(entry_a, entry_b): all alike entries of a set, each pair once; what appending and probing them one by one
     gives."""
-    return matches(probes(entries, most, False), segments(entries, most), most)
+    return matches(probes(entries, most, False), segments(entries, most), entries, entries, most)
 
 
 def first_arrivals(rows: DataFrame, links: DataFrame) -> DataFrame:
