@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.urls import TRACKING, page_key
-from jobloom.llm import canonical, mixing, names, openings, order_minhash, packing, plain_form, segment_index, survivor, tokens
+from jobloom.llm import canonical, mixing, names, openings, order_minhash, packing, plain_form, segment_index, subjects, survivor, tokens
 from jobloom.session import staged, table
 
 
@@ -197,6 +197,21 @@ def p8_shares_tempered(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized, targets, "doc_id", budget=all_tokens / 2)[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "doc_labels").select("doc_id", "subject_id")
+    found, _ = subjects.subjects(table(spark, d, "documents").select("doc_id", "text"), labels)
+    return found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject_id")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean share of text by subject, over the whole corpus."""
+    found, figures = subjects.subjects(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "doc_labels").select("doc_id", "subject_id"))
+    x = found.groupBy("subject_id").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
+    names = table(spark, d, "subjects").select("subject_id", "subject")
+    x = F.broadcast(names).join(x, "subject_id", "left")
+    return x.select("subject_id", "subject", F.coalesce("documents", F.lit(0)).alias("documents"), "mean_share", F.lit(figures["f1"]).alias("held_out_f1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -212,6 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p8_shares_tempered": p8_shares_tempered,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _PAGE = f"""

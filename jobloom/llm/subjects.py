@@ -13,6 +13,7 @@ reads all documents and whole texts. Null and empty texts have no subject.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,18 +23,39 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import fold
+from jobloom.llm.order_minhash import fold_table
+from jobloom.llm.plain_form import code_points
 from jobloom.session import staged
 
 SAMPLE = 12_000
+TELLING = 6  # a sentence is mined by so many items of the highest lift, which bounds its item sets
 HELD_OUT = 4  # one labelled document of so many calibrates, the others are mined
 
 
-def sentences(text_column: str):
-    """Array of the folded sentences of a text, markup left out."""
-    x = F.regexp_replace(F.col(text_column), r"<[^>]*>", "\n")
-    x = F.regexp_replace(x, r"([.!?;:])\s+|\s*\n\s*[-*•]?\s*", "\n")
-    return F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(fold(s), r"[^\p{L}]+", " "))), lambda s: F.length(s) > 2)
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    """Code point to its comparison form: letters, 32 between words, 10 between sentences, 0 for nothing."""
+    t = fold_table().copy()
+    t[(t >= 48) & (t <= 57)] = 32
+    for c in ".!?;:\n\r•|":
+        t[ord(c)] = 10
+    for c in "+#":
+        t[ord(c)] = 32
+    return t
+
+
+def sentences(texts: pa.Array) -> list[list[str]]:
+    """The folded sentences of every text, markup and digits left out. All letters of a batch are folded by one gather."""
+    plain = pa.array([re.sub(r"<[^<>]*>", "\n", x) if x and "<" in x else x for x in texts.to_pylist()], pa.string())
+    cps, bounds = code_points(plain)
+    c = _table()[cps]
+    kept = np.concatenate(([0], np.cumsum(c > 0)))
+    whole = c[c > 0].astype("<u4").tobytes().decode("utf-32-le")
+    out = []
+    for lo, hi in zip(kept[bounds[:-1]], kept[bounds[1:]], strict=True):
+        lines = (" ".join(x.split()) for x in whole[lo:hi].split("\n"))
+        out.append([x for x in lines if len(x) > 2])
+    return out
 
 
 def items_of(sentence: str) -> list[str]:
@@ -45,34 +67,44 @@ def items_of(sentence: str) -> list[str]:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, parts, subjects, fold): labelled documents, at most `sample`; no subject at all gives an empty array."""
     own = labels.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_id")).alias("subjects"))  # few labels a document
-    keep = own.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(sample)
-    x = docs.join(keep, "doc_id").select("doc_id", sentences("text").alias("parts"), "subjects", F.pmod("_h", F.lit(HELD_OUT)).alias("fold"))
-    return staged(x, "labelled")
+    keep = own.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample)
+    x = docs.join(keep, "doc_id").select("doc_id", "text", "subjects", F.pmod("_h", F.lit(HELD_OUT)).cast("int").alias("fold"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = pa.array(sentences(b.column(1)), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), parts, b.column(2), b.column(3)], names=["doc_id", "parts", "subjects", "fold"])
+
+    return staged(x.mapInArrow(run, "doc_id long, parts array<string>, subjects array<int>, fold int"), "labelled")
 
-def _transactions(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
+
+def _transactions(batches: Iterator[pa.RecordBatch], strength: dict[str, float]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for parts, subject in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for s in dict.fromkeys(parts):
-                items = [i for i in items_of(s) if i in known]
+                items = sorted((i for i in items_of(s) if i in strength), key=lambda i: (-strength[i], i))[:TELLING]
                 if items:
                     out.append([*items, f"#{subject}"])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
 
 
-def informative(rows: DataFrame, least: int, lift: float) -> frozenset[str]:
-    """Items of at least `least` documents that are `lift` times as frequent in one subject as overall; at most a few
-    for each labelled document, so their number is bounded by the sample."""
-    x = rows.select("doc_id", "subject", F.explode("parts").alias("s"))
-    w = F.filter(F.split("s", " "), lambda t: F.length(t) > 2)
-    x = x.select("doc_id", "subject", w.alias("w")).select("doc_id", "subject", F.concat("w", F.zip_with("w", F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.concat_ws(" ", a, b))).alias("i"))
-    x = x.select("doc_id", "subject", F.explode("i").alias("item")).distinct()
-    per = x.groupBy("item", "subject").agg(F.count("*").alias("n"))
+def informative(rows: DataFrame, least: int, lift: float) -> dict[str, float]:
+    """Items of at least `least` documents that are `lift` times as frequent in one subject as overall, with that lift.
+    Their number is bounded by the sample of labelled documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [list(dict.fromkeys(i for s in p for i in items_of(s))) for p in b.column(0).to_pylist()]
+            at = pa.array([k for k, x in enumerate(items) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([i for x in items for i in x], pa.string()), b.column(1).take(at)], names=["item", "subject"])
+
+    per = rows.select("parts", "subject").mapInArrow(run, "item string, subject int").groupBy("item", "subject").agg(F.count("*").alias("n"))
     size = rows.groupBy("subject").agg(F.count("*").alias("docs"))
-    top = per.join(F.broadcast(size), "subject").groupBy("item").agg(F.sum("n").alias("n"), F.max(F.col("n") / F.col("docs")).alias("best"))
     total = rows.count()
-    return frozenset(r.item for r in top.where((F.col("n") >= least) & (F.col("best") * total >= lift * F.col("n"))).select("item").collect())
+    top = per.join(F.broadcast(size), "subject").groupBy("item").agg(F.sum("n").alias("n"), F.max(F.col("n") / F.col("docs")).alias("best"))
+    top = top.where(F.col("n") >= least).withColumn("lift", F.col("best") * total / F.col("n")).where(F.col("lift") >= lift)
+    return {r.item: r.lift for r in top.select("item", "lift").collect()}
 
 
 def mine(rows: DataFrame, least: int = 3, sure: float = 0.55) -> list[tuple[tuple[str, ...], int, float, int]]:
@@ -140,23 +172,23 @@ class Scorer:
         return {c: n / size for c, n in own.items()} if size else {}
 
 
-def score(parts: DataFrame, rules: list[tuple[tuple[str, ...], int, float, int]]) -> DataFrame:
-    """(doc_id, subject_id, share) of documents (doc_id, parts) for every subject with evidence."""
-    spark = parts.sparkSession
-    shared = spark.sparkContext.broadcast(rules)  # bounded by the sample of labelled documents
+def score(rows: DataFrame, rules: list[tuple[tuple[str, ...], int, float, int]], column: str = "text") -> DataFrame:
+    """(doc_id, subject_id, share) of documents (doc_id, text, or parts) for every subject with evidence."""
+    shared = rows.sparkSession.sparkContext.broadcast(rules)  # bounded by the sample of labelled documents
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
         for b in batches:
             ids, subjects, shares = [], [], []
-            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for c, v in s.shares(p or []).items():
+            parts = sentences(b.column(1)) if column == "text" else b.column(1).to_pylist()
+            for i, p in zip(b.column(0).to_pylist(), parts, strict=True):
+                for c, v in s.shares(p).items():
                     ids.append(i)
                     subjects.append(c)
                     shares.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subjects, pa.int32()), pa.array(shares, pa.float64())], names=["doc_id", "subject_id", "share"])
 
-    return parts.select("doc_id", "parts").mapInArrow(run, "doc_id long, subject_id int, share double")
+    return rows.select("doc_id", column).mapInArrow(run, "doc_id long, subject_id int, share double")
 
 
 def calibrate(scored: DataFrame, truth: DataFrame) -> tuple[float, float]:
@@ -180,7 +212,7 @@ def subjects(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     from which a subject counts and the number of rules."""
     known = labelled(docs, labels, sample)
     test = known.where("fold = 0")
-    cut, f1 = calibrate(score(test, mine(known.where("fold <> 0"))), test)
+    cut, f1 = calibrate(score(test, mine(known.where("fold <> 0")), "parts"), test)
     rules = mine(known)
-    found = score(docs.select("doc_id", sentences("text").alias("parts")), rules).where(F.col("share") >= cut)
+    found = score(docs.select("doc_id", "text"), rules).where(F.col("share") >= cut)
     return found, {"f1": f1, "share": cut, "rules": len(rules)}

@@ -4,7 +4,7 @@ CATALOG = [(1, "Java", None), (2, "Java", "Spring Boot"), (3, "Go", None), (4, "
 CASES = [
     ("Java", None, "x", None), ("Java", "Spring Boot", "x", None), ("Java ", None, "x", 1), ("JAVA (oo)", None, "x", 1), ("Java", "Sprnig Boot", "x", 2), ("Spring Boot", "Java", "x", 2),
     ("K8s", None, "x", 5), (None, "Kubernets básico", "x", 5), ("Rust", None, "x", 0), ("go", None, "x", 3), ("Csharp", None, "x", 6), ("conh. em Spark", None, "x", 7),
-    (None, None, "Uso de SQL Server em produção", 9), (None, None, "Gestão de redes e de escala", 0), (None, None, None, 0), ("", " ", "Domínio de Java", 1), ("SQL / similares", None, "x", 8), ("Ｊａｖａ", None, "x", 1),
+    (None, None, "Uso de SQL Server em produção", 9), (None, None, "Gestão de redes e de escala", 0), (None, None, "Projeto de redes locais", 0), (None, None, "Monitoração das redes", 0), (None, None, None, 0), ("", " ", "Domínio de Java", 1), ("SQL / similares", None, "x", 8), ("Ｊａｖａ", None, "x", 1),
 ]
 
 
