@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_stage_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def get_spark(app: str = "jobloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,7 +33,22 @@ def get_spark(app: str = "jobloom", master: str | None = None, **conf: str) -> S
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session; their Python workers may run anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="jobloom-")) / "jobloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +70,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else os.fspath(uri)
