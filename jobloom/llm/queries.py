@@ -12,6 +12,11 @@ from jobloom.llm import canonical, mixing, names, openings, order_minhash, packi
 from jobloom.session import staged, table
 
 
+# Word-level share of an opening's text that its edited copies keep; texts of different openings keep less than half.
+SAME_OPENING = 0.65
+JOBS_BEFORE = 1 << 40
+
+
 def _firms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Spellings with their firm, and the target names among them."""
     target = table(spark, d, "target_companies").select("name", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
@@ -30,22 +35,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, firm, role, level, team, city, body."""
+    """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, firm, role, level, team, city.
+
+    Each step is written before the next, so that no plan holds them all."""
     j = table(spark, d, "jobs")
     at = F.coalesce("location", F.get_json_object("payload", "$.location"))
-    j = j.select((F.col("id") - (1 << 40)).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"), F.get_json_object("payload", "$.description").alias("d"))
-    c = table(spark, d, "candidates")
-    c = c.select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location", F.col("description").alias("d"))
+    j = j.select((F.col("id") - JOBS_BEFORE).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"))
+    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location")
+    x = staged(j.union(c), "postings-raw")
+    other = names.read_names(x, "company").select(F.col("name").alias("company"), F.xxhash64("own", "biz").alias("other"))
     known, _ = _firms(spark, d)
-    firm = known.select(F.col("name").alias("company"), "firm").distinct()
-    x = j.union(c)
-    other = names.read_names(x, "company").select(F.col("name").alias("company"), F.concat_ws("|", "own", "biz").alias("other"))
-    x = x.join(other, "company", "left").join(firm, "company", "left")
     # a name that is no known firm's is its own firm; no name or a placeholder is none
-    firm = F.coalesce("firm", F.xxhash64("other"))
-    x = x.select("ord", "key", "title", "location", firm.alias("firm"), F.nullif(F.trim("d"), F.lit("")).alias("d"))
-    x = x.select("ord", "key", "title", "location", "firm", F.when(F.col("d").isNotNull(), F.xxhash64("d")).alias("body"))
-    return openings.with_opening(x, "title", "location")
+    firm = other.join(known.select(F.col("name").alias("company"), "firm").distinct(), "company", "left")
+    firm = staged(firm.select("company", F.coalesce("firm", "other").alias("firm")), "posting-firms")
+    parsed = staged(openings.with_opening(x, "title", "location"), "postings-parsed")
+    return parsed.join(firm, "company", "left").drop("company")
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, text): the descriptions of jobs and candidates."""
+    j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("ord"), F.get_json_object("payload", "$.description").alias("text"))
+    return j.union(table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("description").alias("text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,31 +63,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     x = _postings(spark, d).where("role IS NOT NULL")
     text = openings.interleaved(F.col("role"), F.col("team"))
     whole = F.col("firm").isNotNull() & (F.col("city") != "")
-    x = x.select("ord", "key", text.alias("text"), "body", F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level")
+    x = x.select("ord", "key", text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level", "firm", "city")
     x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.xxhash64("block", "text")))
     x = staged(x, "postings")
-    links = segment_index.link_entries(staged(segment_index.as_entries(x), "entries"), most)
-    # the same key is the same posting; a row without firm or city has no block and is known by its exact text
-    by_key = x.where("ord > 0").groupBy("key").agg(F.min("entry").alias("entry_a"), F.max("entry").alias("entry_b")).where("entry_a <> entry_b")
-    by_key = x.where("ord > 0").join(by_key.select("key", "entry_a"), "key").select("entry_a", F.col("entry").alias("entry_b"))
-    open_ = x.where("block IS NULL AND body IS NOT NULL").select("body", "level").distinct()
-    by_text = x.join(open_, ["body", "level"]).groupBy("body", "level").agg(F.min("entry").alias("entry_a"))
-    by_text = x.join(by_text, ["body", "level"]).select("entry_a", F.col("entry").alias("entry_b"))
-    found = segment_index.first_arrivals(x, links.union(by_key).union(by_text).where("entry_a <> entry_b"))
+    links = staged(segment_index.link_entries(staged(segment_index.as_entries(x), "entries"), most), "entry-links")
+    # the same key is the same posting
+    keys = x.where("ord > 0").groupBy("key").agg(F.min("entry").alias("entry_a"), F.max("entry").alias("_z")).where("entry_a <> _z").select("key", "entry_a")
+    by_key = x.where("ord > 0").join(keys, "key").select("entry_a", F.col("entry").alias("entry_b"))
+    # a row without firm or city has no block: it is held against rows of the same title and level, and the same city
+    # or firm, and must say the same in its description
+    near = []
+    for known, missing in (("city", "firm IS NULL AND city <> ''"), ("firm", "firm IS NOT NULL AND city = ''")):
+        scope = F.xxhash64(known, "level", "text")
+        open_ = x.where(missing).select(scope.alias("scope")).distinct()
+        near.append(x.where(F.col(known).isNotNull() & (F.col(known).cast("string") != "")).select("ord", "entry", scope.alias("scope")).join(open_, "scope", "left_semi"))
+    near = staged(near[0].union(near[1]).distinct(), "open-postings")
+    rows = near.join(_bodies(spark, d), "ord").select(F.col("ord").alias("id"), "text", "scope")
+    same = order_minhash.near_duplicates(rows, "open-sketches", least=SAME_OPENING)
+    own = near.select("ord", "entry").distinct()
+    by_text = same.join(own.select(F.col("ord").alias("a"), F.col("entry").alias("entry_a")), "a").join(own.select(F.col("ord").alias("b"), F.col("entry").alias("entry_b")), "b")
+    links = links.union(by_key).union(by_text.select("entry_a", "entry_b")).where("entry_a <> entry_b")
+    found = segment_index.first_arrivals(x, links)
     prior = x.select(F.col("ord").alias("first"), F.col("key").alias("prior_key"))
     return found.where("first < ord AND ord > 0").join(prior, "first").select(F.col("ord").alias("inbox_id"), "prior_key")
 
 
-# Word-level share of an opening's text that its edited copies keep; texts of different openings keep less than half.
-SAME_OPENING = 0.65
-
-
 def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
     """(id, class) of candidates whose descriptions are near-duplicates; a row without a description is known by its
     title, level, city and the company's own words, or by its candidate_key."""
     c = table(spark, d, "candidates")
     rows = c.select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.lit(0).cast("long").alias("scope"))
-    links = order_minhash.near_duplicates(rows, "candidate-sketches", least=SAME_OPENING)
+    links = order_minhash.near_duplicates(rows, "candidate-sketches", m=16, least=SAME_OPENING)
     own = names.read_names(c, "company").select(F.col("name").alias("company"), "own")
     bare = F.coalesce(F.trim("description"), F.lit("")) == ""
     head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), "title", "location").join(own, "company", "left")
@@ -98,7 +114,7 @@ def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
 def _job_classes(spark: SparkSession, d: str) -> DataFrame:
     text = F.get_json_object("payload", "$.description")
     rows = table(spark, d, "jobs").select("id", text.alias("text"), F.lit(0).cast("long").alias("scope"))
-    return order_minhash.classes(order_minhash.near_duplicates(rows, "job-sketches", least=SAME_OPENING))
+    return order_minhash.classes(order_minhash.near_duplicates(rows, "job-sketches", m=16, least=SAME_OPENING))
 
 
 def _requirement_classes(spark: SparkSession, d: str) -> DataFrame:
