@@ -109,3 +109,42 @@ def mapped(spark: SparkSession, requirements: DataFrame, catalog: DataFrame) ->
     return spark.sql("""
       SELECT requirement_id, skill_id FROM jl_hits
       UNION ALL SELECT DISTINCT t.requirement_id, 0 FROM jl_todo t LEFT ANTI JOIN jl_hits h ON t.requirement_id = h.requirement_id""")
+
+
+def plain_sql() -> str:
+    """The same result in SQL for another engine, with every run of words held against every reference."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    a, b = fold_tables()
+
+    def fold(x: str) -> str:
+        return f"lower(trim(regexp_replace(replace(replace(translate({x}, {quoted(a)}, {quoted(b)}), 'ﬁ', 'fi'), 'ﬃ', 'ffi'), '\\s+', ' ', 'g')))"
+
+    def key(x: str) -> str:
+        return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}#+]', '', 'g')"
+
+    aliases = ", ".join(f"({quoted(n)}, {quoted(y.strip())})" for n, yy in ALIASES.items() for y in yy.split(","))
+    return f"""WITH named AS (SELECT skill_id, coalesce(subskill, skill) AS name, subskill IS NOT NULL AS deep FROM skill_catalog WHERE coalesce(subskill, skill) IS NOT NULL),
+  spelt AS (SELECT skill_id, deep, {key(fold("name"))} AS ref, true AS main FROM named
+    UNION ALL SELECT skill_id, deep, {key(fold("a.alias"))}, false FROM named JOIN (VALUES {aliases}) a(name, alias) USING (name)),
+  refs AS (SELECT ref, arg_min(skill_id, (CASE WHEN main THEN 0 ELSE 1 END, skill_id)) AS skill_id, bool_or(deep) AS deep, length(ref) AS len FROM spelt WHERE ref <> '' GROUP BY ref),
+  todo AS (SELECT DISTINCT requirement_id, nullif(trim(skill), '') AS skill, nullif(trim(subskill), '') AS subskill, requirement FROM job_requirements r
+    WHERE category = 'technical' AND NOT EXISTS (SELECT 1 FROM skill_catalog c WHERE r.skill IS NOT DISTINCT FROM c.skill AND r.subskill IS NOT DISTINCT FROM c.subskill)),
+  own AS (SELECT requirement_id, skill AS text, 'field' AS kind FROM todo UNION ALL SELECT requirement_id, subskill, 'field' FROM todo
+    UNION ALL SELECT requirement_id, requirement, 'sentence' FROM todo WHERE skill IS NULL AND subskill IS NULL),
+  texts AS (SELECT text, kind, list_filter(regexp_split_to_array({fold("text")}, '[^\\p{{L}}\\p{{N}}#+.]+'), lambda w: w <> '' AND w <> '.') AS words FROM (SELECT DISTINCT text, kind FROM own WHERE text IS NOT NULL)),
+  starts AS (SELECT text, kind, words, unnest(range(0, len(words))) AS place FROM texts),
+  runs AS (SELECT text, kind, words, place, unnest(range(1, least(4, len(words) - place) + 1)) AS n FROM starts),
+  grams AS (SELECT text, kind, place, {key("array_to_string(words[place + 1 : place + n], '')")} AS gram FROM runs),
+  kept AS (SELECT * FROM grams WHERE length(gram) BETWEEN 1 AND 40),
+  close AS (SELECT * FROM (SELECT gram, refs.*, levenshtein(gram, ref) AS d FROM (SELECT DISTINCT gram FROM kept) JOIN refs ON abs(length(gram) - len) <= 2)
+    WHERE d = 0 OR (d = 1 AND (len > 4 OR (len = 4 AND length(gram) <> 4)))
+      OR (d = 2 AND (len > 7 OR (len > 4 AND list_sort(string_split(gram, '')) = list_sort(string_split(ref, '')))))),
+  common AS (SELECT gram, count(DISTINCT text) AS df FROM kept WHERE kind = 'sentence' GROUP BY gram),
+  best AS (SELECT g.text, g.kind, arg_max({{'id': c.skill_id, 'deep': c.deep, 'len': c.len}}, (CASE WHEN c.d = 0 THEN 1 ELSE 0 END, c.len, -g.place, -c.skill_id)) AS b
+    FROM kept g JOIN close c ON g.gram = c.gram LEFT JOIN common x ON g.gram = x.gram LEFT JOIN common y ON c.ref = y.gram
+    WHERE g.kind = 'field' OR c.d = 0 OR coalesce(x.df, 0) * 4 <= greatest(coalesce(y.df, 0), 8) GROUP BY 1, 2),
+  hits AS (SELECT requirement_id, arg_max(b.id, (CASE WHEN b.deep THEN 1 ELSE 0 END, b.len, -b.id)) AS skill_id FROM own JOIN best USING (text, kind) GROUP BY 1)
+SELECT DISTINCT requirement_id, coalesce(skill_id, 0)::int AS skill_id FROM todo LEFT JOIN hits USING (requirement_id)"""

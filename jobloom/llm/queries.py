@@ -280,4 +280,5 @@ WHERE trust = bt AND seen = bs AND filled = bf GROUP BY group_id HAVING count(*)
     FROM s WHERE job_key IS NOT NULL AND page IS NOT NULL WINDOW w AS (PARTITION BY job_key, page))
 SELECT job_key, page, group_id, group_rows, source_id, trust = bt AND seen = bs AND filled = bf AND same = 1 AS dominant
 FROM q WHERE r = 1""",
+    "p5_found": canonical.plain_sql(),
 }
