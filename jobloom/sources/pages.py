@@ -126,12 +126,11 @@ PARSED = "requirements array<string>, differentials array<string>, duties array<
 
 def parse_pages(rows: DataFrame, text: str) -> DataFrame:
     """rows without the text column, with its sections, distinct links in order, the JSON-LD posting (as JSON, null
-    without one) and the number of lines. A null text has none of them."""
+    without one) and the number of lines. A null text has none of them. Existing columns of these names are replaced."""
+    parsed = StructType.fromDDL(PARSED)
+    rows = rows.drop(*[c for c in parsed.names if c != text])
     keep = [f for f in rows.schema.fields if f.name != text]
     names = [f.name for f in keep]
-    parsed = StructType.fromDDL(PARSED)
-    if clash := sorted(set(names) & set(parsed.names)):
-        raise ValueError(f"columns exist already: {clash}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.list_(pa.string())
