@@ -39,11 +39,9 @@ def with_opening(rows: DataFrame, title: str, location: str) -> DataFrame:
 
     The forms 'role level - team', 'role level | team', 'role (team) level' and 'team: role level' give the same parts.
     Without a level, level is ''; a null title gives null parts; a null location, or one that is nothing but state,
-    country and way of working, gives the city ''. Columns of these names must not exist before.
+    country and way of working, gives the city ''. Existing columns of these names are replaced.
     """
-    own = [c for c in rows.columns if c not in (title, location)]
-    if clash := sorted({"role", "level", "team", "city"} & set(own)):
-        raise ValueError(f"columns exist already: {clash}")
+    own = [c for c in rows.columns if c not in (title, location, "role", "level", "team", "city")]
     states = "|".join(STATES)
     levels, full = F.array(*map(F.lit, LEVELS)), F.array(*map(F.lit, [*LEVELS, "estagiario", "estagiaria"]))
     x = rows.select(*own, fold(F.col(title)).alias("_t"), fold(F.col(location)).alias("_l"))

@@ -218,10 +218,8 @@ def plain_array(a: pa.Array) -> pa.Array:
 
 def plain_columns(df: DataFrame, columns: list[str], suffix: str = "_plain", changed: str = "_changed") -> DataFrame:
     """df with <column><suffix> (the plain form) and <column><changed> (whether it differs; false for null) for each
-    of the string columns. An existing column of such a name is an error."""
-    new = [c + s for c in columns for s in (suffix, changed)]
-    if clash := sorted(set(new) & set(df.columns)):
-        raise ValueError(f"columns exist already: {clash}")
+    of the string columns. Existing columns of such names are replaced."""
+    df = df.drop(*[c + s for c in columns for s in (suffix, changed) if c + s not in columns])
     schema = StructType(list(df.schema.fields))
     for c in columns:
         schema.add(c + suffix, "string").add(c + changed, "boolean")

@@ -35,10 +35,9 @@ def encoder(path: str):
 
 def with_tokens(rows: DataFrame, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """rows without the text column, with the number of its tokens (0 for null and empty texts). Whole texts are
-    counted; strings of special tokens count as ordinary text."""
+    counted; strings of special tokens count as ordinary text. An existing column of that name is replaced."""
     path = path or default_path()
-    if out in rows.columns:
-        raise ValueError(f"column exists already: {out}")
+    rows = rows if out == text else rows.drop(out)
     keep = [f for f in rows.schema.fields if f.name != text]
     schema = StructType(list(keep)).add(out, "long")
 
