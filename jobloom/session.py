@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -59,7 +61,9 @@ def stage_root(spark: SparkSession) -> str:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_stage_dir:
-        _own_stage_dir[app] = "file://" + tempfile.mkdtemp(prefix="jobloom-stage-")
+        folder = tempfile.mkdtemp(prefix="jobloom-stage-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_stage_dir[app] = "file://" + folder
     return _own_stage_dir[app]
 
 
