@@ -101,6 +101,18 @@ def to_arrow(cps: np.ndarray, bounds: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [valid, pa.py_buffer(off), pa.py_buffer(data)])
 
 
+def slices(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+    """Row ranges of a string array that hold at most about `most` bytes each (one row at least)."""
+    a = texts.cast(pa.large_string())
+    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    out, lo = [], 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def _keep(cps: np.ndarray, row: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cps, row) if keep.all() else (cps[keep], row[keep])
 
@@ -231,7 +243,8 @@ def plain_columns(df: DataFrame, columns: list[str], suffix: str = "_plain", cha
             arrays, names = list(b.columns), list(b.schema.names)
             for c in columns:
                 own = b.column(names.index(c))
-                plain = plain_array(own).cast(pa.string())
+                parts = [plain_array(own.slice(lo, hi - lo)) for lo, hi in slices(own)]
+                plain = pa.concat_arrays(parts or [plain_array(own)]).cast(pa.string())
                 arrays += [plain, pc.fill_null(pc.not_equal(plain, own.cast(pa.string())), False)]
                 names += [c + suffix, c + changed]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

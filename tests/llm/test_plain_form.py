@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from jobloom.llm.plain_form import changed_values, compose, plain_array, plain_columns, tables
+from jobloom.llm.plain_form import changed_values, compose, plain_array, plain_columns, slices, tables
 
 CASES = {
     "Ｓãｏ Paulo － SP": "São Paulo - SP",
@@ -50,6 +50,11 @@ def test_idempotent(texts):
     assert plain_array(once).to_pylist() == once.to_pylist()
 
 
+def test_slices():
+    a = pa.array(["x" * 5, None, "y" * 50, "", "z"])
+    assert slices(a, 10) == [(0, 2), (2, 3), (3, 5)] and slices(a[:0]) == [] and slices(a[1:], 1000) == [(0, 4)]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "Ｓão", "x"), (2, None, ""), (1, "Ｓão", "x")], "id long, title string, n string")
     out = plain_columns(df, ["title"]).collect()
