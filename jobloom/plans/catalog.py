@@ -111,3 +111,33 @@ def frequent_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of four letters or more that at least twenty documents hold."""
     w = table(spark, d, "documents").select(F.explode(F.filter(text.tokens(F.col("text")), lambda t: F.length(t) > 3)).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("documents")).where("documents >= 20")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT candidate_key, batch_no FROM candidates), g AS (SELECT *, batch_no - lag(batch_no) OVER (PARTITION BY candidate_key ORDER BY batch_no) AS gap FROM b)
+SELECT candidate_key, min(batch_no) AS first_batch, max(batch_no) AS last_batch, count(*) AS batches, coalesce(max(gap), 0) AS longest_gap FROM g GROUP BY 1""")
+def inbox_history(spark: SparkSession, d: str) -> DataFrame:
+    """For each posting of the inbox, its first and last batch, in how many it came and the longest gap between two."""
+    b = table(spark, d, "candidates").select("candidate_key", "batch_no").distinct()
+    g = b.withColumn("gap", F.col("batch_no") - F.lag("batch_no").over(W.partitionBy("candidate_key").orderBy("batch_no")))
+    return g.groupBy("candidate_key").agg(
+        F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"), F.count("*").alias("batches"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap")
+    )
+
+
+@query("""
+WITH o AS (SELECT source_url AS key, arg_max(CASE WHEN description IS NULL THEN 'textless' ELSE 'read' END, (discovered_at, CASE WHEN description IS NULL THEN 'textless' ELSE 'read' END)) AS now, max(discovered_at) AS at
+    FROM candidates WHERE source_url IS NOT NULL GROUP BY 1)
+SELECT coalesce(j.key, o.key) AS key, CASE WHEN j.status = 'Encerrada' THEN j.status WHEN o.now IS NULL OR o.now = 'textless' THEN coalesce(j.status, o.now) ELSE o.now END AS status,
+  (CASE WHEN j.key IS NULL THEN 0 ELSE 1 END + CASE WHEN o.now IS NULL OR o.now = 'textless' THEN 0 ELSE 1 END)::int AS attempts,
+  coalesce(j.first_seen_at, o.at)::timestamp AS first_seen, greatest(j.updated_at, o.at)::timestamp AS last_seen
+FROM jobs j FULL JOIN o ON j.key = o.key""")
+def page_states(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog's pages after a run over the whole inbox: rows without text are passive, closed jobs stay closed."""
+    from jobloom.operators import state
+
+    c = table(spark, d, "candidates")
+    o = c.select(F.col("source_url").alias("key"), F.when(F.col("description").isNull(), "textless").otherwise("read").alias("status"), F.col("discovered_at").alias("at"))
+    h = table(spark, d, "jobs").select("key", "status", F.lit(1).alias("attempts"), F.col("first_seen_at").alias("first_seen"), F.col("updated_at").alias("last_seen"))
+    x = state.advance(h, o, "key", ["textless"], ["Encerrada"])
+    return x.select("key", "status", "attempts", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))

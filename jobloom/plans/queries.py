@@ -371,11 +371,11 @@ def posting_age(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT sha256(concat_ws('|', coalesce(n1, ''), coalesce(n2, ''), coalesce(n3, ''))) AS k FROM (SELECT
     trim(regexp_replace(lower(strip_accents(company)), '\\s+', ' ', 'g')) AS n1, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS n2, trim(regexp_replace(lower(strip_accents(location)), '\\s+', ' ', 'g')) AS n3
-    FROM candidates WHERE regexp_full_match(concat_ws(' ', company, title, location), '[ -~À-ÿ]*')))
+    FROM candidates))
 SELECT n AS copies, count(*) AS groups FROM (SELECT k, count(*) AS n FROM k GROUP BY 1) GROUP BY 1""")
 def dedupe_groups(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of groups of candidates with equal company, title and location (case, accents and blanks don't count)."""
-    c = table(spark, d, "candidates").where(F.concat_ws(" ", "company", "title", "location").rlike(r"^[ -~À-ÿ]*$"))
+    c = table(spark, d, "candidates")
     parts = [F.coalesce(text.norm_blank(F.col(n)), F.lit("")) for n in ("company", "title", "location")]
     k = c.groupBy(F.sha2(F.concat_ws("|", *parts), 256).alias("k")).agg(F.count("*").alias("n"))
     return k.groupBy(F.col("n").alias("copies")).agg(F.count("*").alias("groups"))
