@@ -25,18 +25,19 @@ def leaders(
     rows: DataFrame, group: list[str], id_column: str, trust: Column, seen: Column, filled: Column, salts: int = SALTS
 ) -> DataFrame:
     """One row a group: the group columns, group_id (its smallest id), group_rows (how many), the leader's id, its
-    trust, seen and filled, and dominant: whether the leader is at least as good as every other row in each of the
+    trust, seen (null for none) and filled, and dominant: whether the leader is at least as good as every other row in each of the
     three and equals no other row in all three.
 
     trust: smaller is better, null the worst; seen: later is better, null the worst; filled: more is better. Rows equal
     in every column count once. Rows whose group columns hold a null belong to no group.
     """
+    never = F.lit("0001-01-01").cast("timestamp")
     x = rows.dropDuplicates().dropna(subset=group)
     x = x.select(
         *group,
         F.col(id_column).alias("_id"),
         F.coalesce(trust, F.lit(LEAST_TRUST)).alias("_trust"),
-        F.coalesce(seen, F.lit("0001-01-01").cast("timestamp")).alias("_seen"),
+        F.coalesce(seen, never).alias("_seen"),
         F.coalesce(filled, F.lit(0)).alias("_filled"),
     )
     # equal rows first: the count of each combination, with partial sums before the shuffle
@@ -58,8 +59,8 @@ def leaders(
     ).where("_rank = 1")
     same = (F.col("_trust") == F.col("_best_trust")) & (F.col("_seen") == F.col("_best_seen")) & (F.col("_filled") == F.col("_best_filled"))
     return x.select(
-        *group, "group_id", "group_rows", F.col("_id").alias(id_column), F.col("_trust").alias("trust"),
-        F.col("_seen").alias("seen"), F.col("_filled").alias("filled"), (same & (F.col("_n") == 1)).alias("dominant"),
+        *group, "group_id", "group_rows", F.col("_id").alias(id_column), F.nullif("_trust", F.lit(LEAST_TRUST)).alias("trust"),
+        F.nullif("_seen", never).alias("seen"), F.col("_filled").alias("filled"), (same & (F.col("_n") == 1)).alias("dominant"),
     )
 
 
@@ -67,10 +68,11 @@ def merged(rows: DataFrame, group: list[str], id_column: str, trust: Column, see
     """One record a group, built field by field: each field is the value of the best row (trust, then seen, then id)
     that has one; an empty string is no value if blank_is_null. A partial max_by does it, so a hot group costs no more
     than the others. Rows whose group columns hold a null belong to no group."""
+    never = F.lit("0001-01-01").cast("timestamp")
     x = rows.dropna(subset=group)
     key = F.struct(
         (-F.coalesce(trust, F.lit(LEAST_TRUST))).alias("t"),
-        F.coalesce(seen, F.lit("0001-01-01").cast("timestamp")).alias("s"),
+        F.coalesce(seen, never).alias("s"),
         (-F.col(id_column)).alias("i"),
     )
     kinds = dict(x.dtypes)
