@@ -9,29 +9,55 @@ from jobloom.functions.text import jaccard
 from jobloom.session import staged
 
 
+def token_groups(rows: DataFrame, id_column: str, block: str, *tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(members: id, block and the sorted token sets t0, t1, ..; groups: block, sets, rep, n): rows equal in their block
+    and in every set are one group of n rows with its smallest id as rep. Rows with a null block or an empty or null set
+    are in none."""
+    sets = [F.array_sort(F.array_distinct(c)).alias(f"t{i}") for i, c in enumerate(tokens)]
+    full = " AND ".join(["block IS NOT NULL", *(f"size(t{i}) > 0" for i in range(len(tokens)))])
+    x = staged(rows.select(F.col(id_column).alias("id"), F.col(block).alias("block"), *sets).where(full), "token-sets")
+    groups = x.groupBy("block", *(f"t{i}" for i in range(len(tokens)))).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return x, groups
+
+
+def group_links(groups: DataFrame, *least: float) -> DataFrame:
+    """(a, b, similarity), a < b: reps of one block whose every set ti is at least least[i] (> 0) similar; similarity is
+    that of t0.
+
+    Prefix filter: tokens are ordered from rare to frequent; sets that are similar enough share one of their first
+    n - ceil(least * n) + 1 tokens, so only groups that share one of each set are joined.
+    """
+    heads = groups.select("block", "rep")
+    near = "a < b"
+    for i, part in enumerate(least):
+        t = f"t{i}"
+        freq = groups.select("block", F.explode(t).alias("w")).groupBy("block", "w").agg(F.count("*").alias("n"))
+        ordered = groups.select("block", "rep", F.size(t).alias("size"), F.explode(t).alias("w")).join(freq, ["block", "w"])
+        ordered = ordered.groupBy("block", "rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))  # one set of tokens
+        prefix = F.expr(f"slice(o, 1, size - cast(ceil({part} * size - 1e-9) as int) + 1)")
+        own = ordered.select("block", "rep", F.col("size").alias(f"size{i}"), F.explode(F.transform(prefix, lambda s: s["w"])).alias(f"w{i}"))
+        heads = heads.join(own, ["block", "rep"])
+        near += f" AND size{i} >= {part} * size{i}_b - 1e-9 AND size{i}_b >= {part} * size{i} - 1e-9"
+    keys = ["block", *(f"w{i}" for i in range(len(least)))]
+    b = heads.withColumnsRenamed({"rep": "b"} | {f"size{i}": f"size{i}_b" for i in range(len(least))})
+    y = heads.withColumnRenamed("rep", "a").join(b, keys).where(near).select("a", "b").distinct()
+    for side in "ab":
+        y = y.join(groups.select(F.col("rep").alias(side), *(F.col(f"t{i}").alias(f"{side}{i}") for i in range(len(least)))), side)
+    alike = [jaccard(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(least))]
+    for s, part in zip(alike, least, strict=True):
+        y = y.where(s >= part - 1e-12)
+    return y.select("a", "b", alike[0].alias("similarity"))
+
+
 def jaccard_links(rows: DataFrame, id_column: str, block: str, tokens: str, least: float) -> DataFrame:
     """(a, b, similarity), a < b: rows of one block whose token sets are at least `least` (> 0) similar.
 
-    Prefix filter: tokens are ordered from rare to frequent; sets that are similar enough share one of their first
-    n - ceil(least * n) + 1 tokens, so only those are joined. Rows with equal block and tokens are one representative
-    (the smallest id); copies are linked to it alone. Null blocks and empty sets have no links.
+    Rows with equal block and tokens are one representative (the smallest id); copies are linked to it alone, so a
+    further criterion needs its sets in the groups (`token_groups`). Null blocks and empty sets have no links.
     """
-    x = rows.select(F.col(id_column).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens)).alias("t"))
-    x = staged(x.where("block IS NOT NULL AND size(t) > 0"), "token-sets")
-    reps = x.groupBy("block", "t").agg(F.min("id").alias("rep"))
-    copies = x.join(reps, ["block", "t"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    freq = reps.select("block", F.explode("t").alias("w")).groupBy("block", "w").agg(F.count("*").alias("n"))
-    ordered = reps.select("block", "rep", F.size("t").alias("size"), F.explode("t").alias("w")).join(freq, ["block", "w"])
-    ordered = ordered.groupBy("block", "rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))  # one set of tokens
-    prefix = F.expr(f"slice(o, 1, size - cast(ceil({least} * size - 1e-9) as int) + 1)")
-    heads = ordered.select("block", "rep", "size", F.explode(F.transform(prefix, lambda s: s["w"])).alias("w"))
-    b = heads.select("block", "w", F.col("rep").alias("b"), F.col("size").alias("size_b"))
-    cand = heads.withColumnsRenamed({"rep": "a", "size": "size_a"}).join(b, ["block", "w"])
-    cand = cand.where(f"a < b AND size_a >= {least} * size_b - 1e-9 AND size_b >= {least} * size_a - 1e-9").select("a", "b").distinct()
-    sets = reps.select("rep", "t")
-    y = cand.join(sets.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
-    y = y.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
-    return y.union(copies)
+    x, groups = token_groups(rows, id_column, block, tokens)
+    copies = x.join(groups, ["block", "t0"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return group_links(groups, least).union(copies)
 
 
 def first_winners(rows: DataFrame, links: DataFrame, order: str, rounds: int = 60) -> DataFrame:

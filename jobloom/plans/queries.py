@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import requirements as req
 from jobloom.functions import text, times, urls
 from jobloom.operators import merge, schedule, similar
-from jobloom.session import table
+from jobloom.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,12 +96,17 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
 
     items = F.from_json(F.get_json_object("payload", "$.requirements"), "array<string>")
     j = table(spark, d, "jobs").select("id", "company", text.tokens(F.col("role")).alias("t"), text.tokens(F.array_join(items, " ")).alias("r"))
-    links = similar.jaccard_links(j, "id", "company", "t", 0.72)
-    r = j.select("id", "r")
-    both = links.join(r.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
-    both = both.where(text.jaccard(F.col("ra"), F.col("rb")) >= 0.45).select("a", "b")
-    degree = both.select(F.col("a").alias("id")).union(both.select("b")).groupBy("id").agg(F.count("*").alias("links"))
-    return degree.join(connected_components(both, "a", "b").withColumnsRenamed({"node": "id", "component": "class"}), "id")
+    members, groups = similar.token_groups(j, "id", "company", "t", "r")
+    groups = staged(groups, "posting-groups")
+    links = staged(similar.group_links(groups, 0.72, 0.45).select("a", "b"), "posting-links")
+    # copies are linked to each other and to all that their group is linked to
+    size = groups.select("rep", "n")
+    ends = links.union(links.select("b", "a")).join(size.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
+    degree = size.join(ends, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    copies = groups.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(links.union(copies), "a", "b").withColumnsRenamed({"node": "rep", "component": "class"})
+    x = members.join(groups, ["block", "t0", "t1"]).select("id", "rep")
+    return x.join(degree, "rep").join(parts, "rep").select("id", "links", "class")
 
 
 @query()

@@ -1,9 +1,12 @@
+import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from jobloom.functions import requirements, text, times, urls
 from jobloom.operators import merge, schedule, similar
+from jobloom.plans.queries import QUERIES
 
 
 def test_text(spark):
@@ -81,6 +84,47 @@ def test_first_winners(spark):
     assert got == winner
 
 
+def write_jobs(spark, folder, n=140):
+    """Jobs of few companies with few titles and requirement lists, so that copies differ in their requirements."""
+    rnd = random.Random(4)
+    titles = ["dev java senior time pagamentos", "dev java senior time cartoes pagamentos", "Dev Java senior time pagamentos!", "analista dados", "", None]
+    words = [f"w{i}" for i in range(9)]
+    rows = []
+    for i in range(n):
+        items = rnd.choice([None, []]) if rnd.random() < 0.1 else [" ".join(rnd.sample(words, rnd.randrange(2, 6))) for _ in range(2)]
+        if rows and rnd.random() < 0.3:
+            items = json.loads(rnd.choice(rows)[3])["requirements"]
+        rows.append((i + 1, rnd.choice(["x", "y", None]), rnd.choice(titles), json.dumps({"requirements": items})))
+    rnd.shuffle(rows)
+    spark.createDataFrame(rows, "id long, company string, role string, payload string").write.parquet(f"{folder}/jobs.parquet")
+    split = lambda s: set(re.findall("[a-z0-9]+", (s or "").lower()))
+    return sorted((i, c, split(r), split(" ".join(json.loads(p)["requirements"] or []))) for i, c, r, p in rows)
+
+
+def share(x, y):
+    return len(x & y) / len(x | y) if x and y else 0
+
+
+def test_same_posting_links(spark, tmp_path):
+    rows = write_jobs(spark, tmp_path)
+    near = {i: set() for i, *_ in rows}
+    for i, c, t, r in rows:
+        for i2, c2, t2, r2 in rows:
+            if i != i2 and c == c2 and c is not None and share(t, t2) >= 0.72 and share(r, r2) >= 0.45:
+                near[i].add(i2)
+    want = {}
+    for i in near:
+        part, todo = set(), [i]
+        while todo:
+            if (k := todo.pop()) not in part:
+                part.add(k)
+                todo += near[k]
+        if near[i]:
+            want[i] = (len(near[i]), min(part))
+    got = [tuple(r) for r in QUERIES["same_posting_links"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {i: (n, c) for i, n, c in got} == want
+
+
 def test_merge(spark):
     p = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (None, "n", "n")], "k int, s string, t string")
     c = spark.createDataFrame([(1, "b", None), (3, "c", "z")], "k int, s string, t string")
