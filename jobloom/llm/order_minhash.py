@@ -2,8 +2,9 @@
 
 A text is a row of symbols (word hashes or code points). Its k-mers are labelled by occurrence; each of m hash
 functions picks the `ell` smallest and keeps them in text order, which makes a bucket key. Texts that share a bucket
-are linked to the bucket's smallest id (a star, not all pairs), each link is verified by an alignment inside a band of
-diagonals, and verified links close to classes through connected components.
+are linked to the bucket's smallest id (a star), each link is verified by an alignment inside a band of diagonals, and
+verified links close to classes through connected components. Texts of a bucket that are still in different classes are
+then all compared, so a smallest id that belongs elsewhere costs no link.
 
 All numeric work is vectorised over Arrow batches: there is no Python loop over records or symbols.
 Null and empty texts have no sketch and no class; texts shorter than k have one k-mer; equal texts share every bucket.
@@ -267,12 +268,85 @@ def verified(pairs: DataFrame, sketches: DataFrame, least: float, band: int) ->
     return y.where(F.col("similarity") >= least).select("a", "b")
 
 
+BITS = 512
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the form (last column) by its size and a signature: one bit for each symbol labelled by occurrence."""
+    for b in batches:
+        raw = b.column(b.num_columns - 1).to_pylist()
+        size = np.array([len(x) // 2 for x in raw], np.int64)
+        off = np.concatenate(([0], np.cumsum(size)))
+        h, bounds = kmers(np.frombuffer(b"".join(raw), "<u2").astype(np.uint64), off, 1)
+        bits = np.zeros((len(raw), BITS), bool)
+        bits[np.repeat(np.arange(len(raw)), np.diff(bounds)), (h % np.uint64(BITS)).astype(np.int64)] = True
+        sign = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * (BITS // 8)).astype(np.int32)), pa.py_buffer(np.packbits(bits, axis=1).tobytes())])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int32()), sign], names=[*b.schema.names[:-1], "size", "sign"])
+
+
+def _possible(key: np.ndarray, id_: np.ndarray, part: np.ndarray, size: np.ndarray, sign: np.ndarray, least: float, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of one key and different parts that may be `least` alike; rows are sorted by key. A symbol whose bit the
+    other text lacks is not in it, so the bits of one text alone bound what both share."""
+    n = len(key)
+    end = np.searchsorted(key, key, "right")
+    count = end - 1 - np.arange(n)
+    done = np.concatenate(([0], np.cumsum(count)))
+    for lo in range(0, int(done[-1]), most):
+        p = np.arange(lo, min(lo + most, int(done[-1])))
+        i = np.searchsorted(done, p, "right") - 1
+        j = i + 1 + p - done[i]
+        need = least / 2 * (size[i] + size[j]) - 1e-9
+        ok = (part[i] != part[j]) & (np.minimum(size[i], size[j]) >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        x, y = sign[i], sign[j]
+        only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        ok = np.minimum(size[i] - only_x, size[j] - only_y) >= need
+        a, b = id_[i[ok]], id_[j[ok]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of rows (key, id, part, size, sign) sorted by key; a bucket may span batches."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def pairs(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for a, b in _possible(*cols, least):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+        cols += (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(batch), -1),)
+        # what the last key has so far waits for the next batch
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut:
+            yield from pairs(tuple(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in cols), strict=True)))
+            held = []
+        elif held and held[0][0][0] != cols[0][0]:
+            yield from pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
+        held.append(tuple(c[cut:] for c in cols))
+    if held:
+        yield from pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def remaining(sketches: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: texts of one bucket that links leave in different classes and that may be `least` alike. A bucket
+    lies in one task, as ids and signatures; pairs that can't be alike are never written."""
+    parts = classes(links).withColumnRenamed("class", "part")
+    x = sketches.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "keys", "form")
+    x = x.mapInArrow(_signed, "id long, part long, keys array<long>, size int, sign binary")
+    x = x.select(F.explode("keys").alias("key"), "id", "part", "size", "sign").repartition("key").sortWithinPartitions("key")
+    return x.mapInArrow(lambda it: _compared(it, least), "a long, b long").distinct()
+
+
 def near_duplicates(rows: DataFrame, name: str, symbols_of: str = "words", k: int = 5, ell: int = 2, m: int = 12, least: float = 0.8, band: int = 32) -> DataFrame:
-    """(a, b): verified links between near-duplicate rows (id, text, scope), compared by their
-    words or letters. A bucket whose smallest id belongs
-    elsewhere still has m - 1 others; equal texts are always linked."""
+    """(a, b): verified links between near-duplicate rows (id, text, scope), compared by their words or letters. Any two
+    rows that share a bucket and are alike are linked, directly or through others."""
     s = staged(sketched(rows, symbols_of, k, ell, m), name)
-    return verified(stars(s), s, least, band)
+    links = staged(verified(stars(s), s, least, band), name + "-stars")
+    return links.union(verified(remaining(s, links, least), s, least, band))
 
 
 def classes(links: DataFrame) -> DataFrame:

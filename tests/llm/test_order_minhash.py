@@ -90,3 +90,47 @@ def test_near_duplicates(spark):
     pairs = {tuple(r) for r in om.pairs_of(spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, class long")).collect()}
     assert pairs == {(1, 2), (1, 3), (2, 3)}
     assert om.near_duplicates(df.limit(0), "e").count() == 0
+
+
+def test_all_of_a_bucket_are_compared(spark):
+    """The smallest id of every bucket is a stranger; the others are two openings of like texts."""
+    rnd = np.random.default_rng(3)
+    base = [rnd.integers(0, 60000, 50) for _ in range(3)]
+    forms = [base[0], base[1], base[1], base[2], base[2], base[1]]
+    forms = [f.copy() for f in forms]
+    for i, f in enumerate(forms):
+        f[i] = 60000 + i
+    rows = [(i, [7, 8], f.astype("<u2").tobytes()) for i, f in enumerate(forms)] + [(9, [5], base[1].astype("<u2").tobytes())]
+    s = spark.createDataFrame(rows, "id long, keys array<long>, form binary")
+    first = om.verified(om.stars(s), s, 0.8, 32)
+    assert first.count() == 0
+    got = {tuple(r) for r in om.verified(om.remaining(s, first, 0.8), s, 0.8, 32).collect()}
+    assert got == {(1, 2), (1, 5), (2, 5), (3, 4)}
+    linked = spark.createDataFrame([(1, 2), (2, 5)], "a long, b long")
+    assert {tuple(r) for r in om.remaining(s, linked, 0.8).collect()} == {(3, 4)}
+    # the same through near_duplicates: a word that all share is the only key
+    for c in range(5000):
+        texts = [f"c{c} " + " ".join(f"w{x}" for x in f) for f in forms]
+        w, off = om.words(pa.array(texts))
+        if len(set(om.order_minhash(w, off, 1, 1, 1).ravel().tolist())) == 1:
+            break
+    else:
+        raise AssertionError("no common key")
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "id long, text string, scope long")
+    links = om.near_duplicates(df, "b", k=1, ell=1, m=1)
+    assert {(r.id, r["class"]) for r in om.classes(links).collect()} == {(1, 1), (2, 1), (5, 1), (3, 3), (4, 3)}
+
+
+def test_signatures_never_part_alike_texts():
+    """What may be alike holds every pair that is, over batches cut anywhere."""
+    rnd = np.random.default_rng(5)
+    forms = [rnd.integers(0, 8, rnd.integers(1, 30)).astype("<u2") for _ in range(90)]
+    key = np.sort(rnd.integers(0, 6, 90))
+    b = next(om._signed(iter([pa.record_batch([pa.array(key), pa.array(range(90)), pa.array(range(90)), pa.array([f.tobytes() for f in forms])], names=["key", "id", "part", "form"])])))
+    i, j = np.triu_indices(90, 1)
+    i, j = i[key[i] == key[j]], j[key[i] == key[j]]
+    sim = om.banded_similarity([forms[x].astype(np.int32) for x in i], [forms[x].astype(np.int32) for x in j], 40)
+    want = {(int(x), int(y)) for x, y, z in zip(i, j, sim, strict=True) if z >= 0.7}
+    for size in (1, 7, 90):
+        got = [p for r in om._compared(iter([b.slice(x, size) for x in range(0, 90, size)]), 0.7) for p in zip(*map(pa.Array.to_pylist, r.columns), strict=True)]
+        assert len(got) == len(set(got)) and want and want <= set(got) and len(got) < len(i)
