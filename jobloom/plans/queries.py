@@ -113,7 +113,12 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
 def preferred_postings(spark: SparkSession, d: str) -> DataFrame:
     """Every job with the job it is a copy of (itself if none): the first, by id, of similar jobs that is no copy."""
     j = table(spark, d, "jobs").select("id", "company", text.tokens(F.col("role")).alias("t"))
-    return similar.first_winners(j.select("id"), similar.jaccard_links(j, "id", "company", "t", 0.72), "id")
+    # rows of equal company and words stand together: they are as similar to any other, so they have one winner
+    members, groups = similar.token_groups(j, "id", "company", "t")
+    groups = staged(groups, "title-groups")
+    won = similar.first_winners(groups.select(F.col("rep").alias("id")), similar.group_links(groups, 0.72), "id", rounds=1 << 30)  # until all are decided
+    x = members.join(groups, ["block", "t0"]).select("id", "rep").join(won.withColumnRenamed("id", "rep"), "rep")
+    return j.select("id").join(x, "id", "left").select("id", F.coalesce("winner", "id").alias("winner"))
 
 
 _PAGE = """SELECT source_id, url, lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,

@@ -125,6 +125,15 @@ def test_same_posting_links(spark, tmp_path):
     assert len(got) == len(want) and {i: (n, c) for i, n, c in got} == want
 
 
+def test_preferred_postings(spark, tmp_path):
+    winner = {}
+    for i, c, t, _ in (rows := write_jobs(spark, tmp_path)):
+        before = [i2 for i2, c2, t2, _ in rows if i2 < i and c == c2 and c is not None and share(t, t2) >= 0.72 and winner[i2] == i2]
+        winner[i] = before[0] if before else i
+    got = [tuple(r) for r in QUERIES["preferred_postings"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(winner) and dict(got) == winner
+
+
 def test_merge(spark):
     p = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (None, "n", "n")], "k int, s string, t string")
     c = spark.createDataFrame([(1, "b", None), (3, "c", "z")], "k int, s string, t string")
