@@ -4,10 +4,15 @@ A text is a row of symbols (word hashes or code points). Its k-mers are labelled
 functions picks the `ell` smallest and keeps them in text order, which makes a bucket key. Texts that share a bucket
 are linked to the bucket's smallest id (a star), each link is verified by an alignment inside a band of diagonals, and
 verified links close to classes through connected components. Texts of a bucket that are still in different classes are
-then all compared, so a smallest id that belongs elsewhere costs no link.
+then all compared, so a smallest id that belongs elsewhere costs no link. Large buckets are compared in blocks.
 
-All numeric work is vectorised over Arrow batches: there is no Python loop over records or symbols.
-Null and empty texts have no sketch and no class; texts shorter than k have one k-mer; equal texts share every bucket.
+`ell` decides how many strangers meet: of texts made of common sentences, two share one k-mer often and three in the
+same order seldom, so three k-mers and more keys find the same links as two at a fraction of the comparisons.
+
+Sketches are computed by array operations over whole Arrow batches; alignment loops over the symbols of the longest
+text of 128 pairs. Symbols are compared by 16 bits of their hash: two different words of a pair pass for equal once in
+65,536, which moves a similarity by less than a word. Null and empty texts have no sketch and no class; texts shorter
+than k have one k-mer; equal texts share every bucket.
 """
 
 from __future__ import annotations
@@ -71,7 +76,8 @@ def order_minhash(symbols: np.ndarray, off: np.ndarray, k: int, ell: int, m: int
     count = np.diff(bounds)
     owner = np.repeat(np.arange(n), count)
     for t in range(m):
-        v = mix(h ^ np.uint64((seed * 1000003 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        c = (seed * 1000003 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        v = (h ^ np.uint64(c)) * np.uint64((c >> 7) * 2 + 1 & 0xFFFFFFFFFFFFFFFF)  # h is mixed, so this orders well enough
         at = np.empty((n, ell), np.int64)
         for r in range(ell):
             low = np.minimum.reduceat(v, starts)
@@ -244,33 +250,50 @@ def sketched(rows: DataFrame, symbols_of: str, k: int, ell: int, m: int) -> Data
     return x.mapInArrow(lambda it: _sketches(it, symbols_of, k, ell, m), "id long, keys array<long>, form binary")
 
 
-def _similar(batches: Iterator[pa.RecordBatch], band: int, least: float) -> Iterator[pa.RecordBatch]:
+Rules = list[tuple[float, int]]  # (least similarity, band) by kind; the kind of an id is its rest by their number
+
+
+def _similar(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, c = ([np.frombuffer(x, "<u2").astype(np.int32) for x in b.column(i).to_pylist()] for i in (2, 3))
-        s = banded_similarity(a, c, band, least) if len(b) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+        if not len(b):
+            continue
+        ids = np.asarray(b.column(0))
+        rows = [[np.frombuffer(x, "<u2").astype(np.int32) for x in b.column(i).to_pylist()] for i in (2, 3)]
+        ok = np.zeros(len(b), bool)
+        for kind, (least, band) in enumerate(rules):
+            own = np.flatnonzero(ids % len(rules) == kind)
+            if len(own):
+                ok[own] = banded_similarity([rows[0][i] for i in own], [rows[1][i] for i in own], band, least) >= least
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
-def stars(sketches: DataFrame) -> DataFrame:
-    """(a, b): every text of a shared bucket with the bucket's smallest id, each pair once. The smallest id comes from
-    a partial min and is joined back, so a hot bucket may lie in many tasks."""
-    x = sketches.select(F.explode("keys").alias("key"), "id")
-    low = x.groupBy("key").agg(F.min("id").alias("a"))
-    return x.join(low, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def buckets(sketches: DataFrame) -> DataFrame:
+    """(key, id, head, n): texts of buckets with more than one row, with the bucket's smallest id and its rows. Keys are
+    shuffled once, for the counts and for the join with them; most buckets hold one row and end here."""
+    x = sketches.select(F.explode("keys").alias("key"), "id").repartition("key")
+    low = x.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return x.join(low, "key").select("key", "id", "head", "n")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, least: float, band: int) -> DataFrame:
-    """Pairs (a, b) whose aligned similarity is at least `least`."""
+def stars(shared: DataFrame) -> DataFrame:
+    """(a, b): every text of a shared bucket with the bucket's smallest id, each pair once."""
+    return shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs (a, b) whose aligned similarity is high enough."""
     f = sketches.select("id", "form")
-    x = pairs.join(f.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a")
-    x = x.join(f.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b").select("a", "b", "form_a", "form_b")
-    y = x.mapInArrow(lambda it: _similar(it, band, least), "a long, b long, similarity double")
-    return y.where(F.col("similarity") >= least).select("a", "b")
+    x = pairs.join(f.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
+    x = x.join(f.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a").select("a", "b", "form_a", "form_b")
+    return x.mapInArrow(lambda it: _similar(it, rules), "a long, b long")
 
 
 BITS = 512
 
 
+BLOCK = 4096  # rows of a bucket that are compared in one task
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the form (last column) by its size and a signature: one bit for each symbol labelled by occurrence."""
     for b in batches:
@@ -284,19 +307,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int32()), sign], names=[*b.schema.names[:-1], "size", "sign"])
 
 
-def _possible(key: np.ndarray, id_: np.ndarray, part: np.ndarray, size: np.ndarray, sign: np.ndarray, least: float, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of one key and different parts that may be `least` alike; rows are sorted by key. A symbol whose bit the
-    other text lacks is not in it, so the bits of one text alone bound what both share."""
-    n = len(key)
-    end = np.searchsorted(key, key, "right")
+def _possible(group: np.ndarray, side: np.ndarray, id_: np.ndarray, part: np.ndarray, size: np.ndarray, sign: np.ndarray, least: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of one group, different parts and different sides (or no sides, -1) that may be `least` (by kind) alike;
+    rows are sorted by group. A symbol whose bit the other text lacks is not in it, so the bits of one text alone bound
+    what both share."""
+    n = len(group)
+    end = np.searchsorted(group, group, "right")
     count = end - 1 - np.arange(n)
     done = np.concatenate(([0], np.cumsum(count)))
     for lo in range(0, int(done[-1]), most):
         p = np.arange(lo, min(lo + most, int(done[-1])))
         i = np.searchsorted(done, p, "right") - 1
         j = i + 1 + p - done[i]
-        need = least / 2 * (size[i] + size[j]) - 1e-9
-        ok = (part[i] != part[j]) & (np.minimum(size[i], size[j]) >= need)
+        need = least[id_[i] % len(least)] / 2 * (size[i] + size[j]) - 1e-9
+        ok = (part[i] != part[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= need)
         i, j, need = i[ok], j[ok], need[ok]
         x, y = sign[i], sign[j]
         only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
@@ -305,9 +329,11 @@ def _possible(key: np.ndarray, id_: np.ndarray, part: np.ndarray, size: np.ndarr
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of rows (key, id, part, size, sign) sorted by key; a bucket may span batches."""
+def _compared(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of rows (group, side, id, part, size, sign) sorted by group; a group may span batches and is
+    bounded by two blocks."""
     held: list[tuple[np.ndarray, ...]] = []
+    least = np.array([r[0] for r in rules])
 
     def pairs(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         for a, b in _possible(*cols, least):
@@ -316,9 +342,9 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
     for batch in batches:
         if not len(batch):
             continue
-        cols = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
-        cols += (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(batch), -1),)
-        # what the last key has so far waits for the next batch
+        cols = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
+        cols += (np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(batch), -1),)
+        # what the last group has so far waits for the next batch
         cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
         if cut:
             yield from pairs(tuple(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in cols), strict=True)))
@@ -331,22 +357,38 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield from pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def remaining(sketches: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: texts of one bucket that links leave in different classes and that may be `least` alike. A bucket
-    lies in one task, as ids and signatures; pairs that can't be alike are never written."""
+def remaining(sketches: DataFrame, shared: DataFrame, links: DataFrame, rules: Rules, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: texts of one bucket that links leave in different classes and that may be alike. Only buckets of
+    more than one class are looked at, as ids and signatures. A bucket of more than `block` rows is cut, and every two
+    of its cuts meet in a task of their own. Pairs that can't be alike are never written."""
     parts = classes(links).withColumnRenamed("class", "part")
-    x = sketches.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "keys", "form")
-    x = x.mapInArrow(_signed, "id long, part long, keys array<long>, size int, sign binary")
-    x = x.select(F.explode("keys").alias("key"), "id", "part", "size", "sign").repartition("key").sortWithinPartitions("key")
-    return x.mapInArrow(lambda it: _compared(it, least), "a long, b long").distinct()
-
-
-def near_duplicates(rows: DataFrame, name: str, symbols_of: str = "words", k: int = 5, ell: int = 2, m: int = 12, least: float = 0.8, band: int = 32) -> DataFrame:
-    """(a, b): verified links between near-duplicate rows (id, text, scope), compared by their words or letters. Any two
-    rows that share a bucket and are alike are linked, directly or through others."""
-    s = staged(sketched(rows, symbols_of, k, ell, m), name)
-    links = staged(verified(stars(s), s, least, band), name + "-stars")
-    return links.union(verified(remaining(s, links, least), s, least, band))
+    x = shared.select("key", "id", "n").join(parts, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part"))
+    x = staged(x, "bucket-parts")
+    mixed = x.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    x = x.join(mixed, "key")
+    cuts = F.ceil(F.col("n") / block).cast("int")
+    x = x.groupBy("id", "part").agg(F.collect_list(F.struct("key", cuts.alias("cuts"))).alias("own"))  # at most m a text
+    x = x.join(sketches.select("id", "form"), "id").select("id", "part", "own", "form").mapInArrow(_signed, "id long, part long, own array<struct<key: long, cuts: int>>, size int, sign binary")
+    x = x.select("id", "part", "size", "sign", F.explode("own").alias("o")).select("id", "part", "size", "sign", "o.key", "o.cuts")
+    x = x.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    group = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other")))
+    side = F.when(F.col("cut") == F.col("other"), F.when(F.col("cuts") == 1, -1).otherwise(-2)).when(F.col("cut") < F.col("other"), 0).otherwise(1)
+    x = x.select(group.alias("group"), side.alias("side"), "id", "part", "size", "sign").repartition("group").sortWithinPartitions("group")
+    return x.mapInArrow(lambda it: _compared(it, rules), "a long, b long").distinct()
+
+
+def linked(sketches: DataFrame, name: str, rules: Rules) -> DataFrame:
+    """(a, b): verified links between the texts of sketches (id, keys, form). Any two that share a bucket and are alike
+    are linked, directly or through others."""
+    shared = staged(buckets(sketches), name + "-buckets")
+    links = staged(verified(stars(shared), sketches, rules), name + "-stars")
+    return links.union(verified(remaining(sketches, shared, links, rules), sketches, rules))
+
+
+def near_duplicates(rows: DataFrame, name: str, symbols_of: str = "words", k: int = 5, ell: int = 3, m: int = 32, least: float = 0.8, band: int = 32) -> DataFrame:
+    """(a, b): verified links between near-duplicate rows (id, text, scope), compared by their words or letters."""
+    return linked(staged(sketched(rows, symbols_of, k, ell, m), name), name, [(least, band)])
 
 
 def classes(links: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.urls import TRACKING, page_key
@@ -34,6 +34,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("tname_1 IS NULL OR tname_2 IS NULL").select("name_1", "name_2")
 
 
+def _company_firms(spark: SparkSession, d: str, companies: DataFrame) -> DataFrame:
+    """(company, firm) of companies (company); no name or a placeholder is no firm, a name that is no known firm's is
+    its own firm."""
+    other = names.read_names(companies, "company").select(F.col("name").alias("company"), F.xxhash64("own", "biz").alias("other"))
+    known, _ = _firms(spark, d)
+    firm = other.join(known.select(F.col("name").alias("company"), "firm").distinct(), "company", "left")
+    return staged(firm.select("company", F.coalesce("firm", "other").alias("firm")), "company-firms")
+
+
 def _postings(spark: SparkSession, d: str) -> DataFrame:
     """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, firm, role, level, team, city.
 
@@ -43,11 +52,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     j = j.select((F.col("id") - JOBS_BEFORE).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"))
     c = table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location")
     x = staged(j.union(c), "postings-raw")
-    other = names.read_names(x, "company").select(F.col("name").alias("company"), F.xxhash64("own", "biz").alias("other"))
-    known, _ = _firms(spark, d)
-    # a name that is no known firm's is its own firm; no name or a placeholder is none
-    firm = other.join(known.select(F.col("name").alias("company"), "firm").distinct(), "company", "left")
-    firm = staged(firm.select("company", F.coalesce("firm", "other").alias("firm")), "posting-firms")
+    firm = _company_firms(spark, d, x.select("company"))
     parsed = staged(openings.with_opening(x, "title", "location"), "postings-parsed")
     return parsed.join(firm, "company", "left").drop("company")
 
@@ -88,45 +93,63 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("first < ord AND ord > 0").join(prior, "first").select(F.col("ord").alias("inbox_id"), "prior_key")
 
 
-def _candidate_classes(spark: SparkSession, d: str) -> DataFrame:
-    """(id, class) of candidates whose descriptions are near-duplicates; a row without a description is known by its
-    title, level, city and the company's own words, or by its candidate_key."""
+KINDS = {"job": 0, "candidate": 1, "requirement": 2}
+HEADS = 3
+# (least similarity, band) of jobs, candidates, requirements and titles of candidates without a description
+RULES = [(SAME_OPENING, 32), (SAME_OPENING, 32), (0.8, 16), (0.9, 8)]
+
+
+def _coded(id_column: str, kind: int) -> Column:
+    """Ids of several kinds in one column, so that all kinds share each step."""
+    return (F.col(id_column) * len(RULES) + kind).alias("id")
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with what is known without their description: id, candidate_key, bare (no description), text (role
+    and team) and scope (firm, level and city)."""
     c = table(spark, d, "candidates")
-    rows = c.select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.lit(0).cast("long").alias("scope"))
-    links = order_minhash.near_duplicates(rows, "candidate-sketches", m=16, least=SAME_OPENING)
-    own = names.read_names(c, "company").select(F.col("name").alias("company"), "own")
     bare = F.coalesce(F.trim("description"), F.lit("")) == ""
-    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), "title", "location").join(own, "company", "left")
+    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), "title", "location").join(_company_firms(spark, d, c.select("company")), "company", "left")
     head = openings.with_opening(head, "title", "location")
-    text = F.concat_ws(" ", "role", "team")
-    scope = F.when(F.col("own").isNotNull() & (F.col("city") != ""), F.xxhash64("own", "level", "city"))
-    head = staged(head.select(F.col("inbox_id").alias("id"), "candidate_key", "bare", text.alias("text"), scope.alias("scope")), "candidate-heads")
-    near = head.join(head.where("bare").select("scope").distinct(), "scope", "left_semi")
-    heads = order_minhash.near_duplicates(near, "head-sketches", "letters", least=0.9, band=8)
-    t = near.select("id", "text")
-    heads = heads.join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select("a", "b")
-    keys = head.join(head.where("bare").select("candidate_key").distinct(), "candidate_key", "left_semi")
-    keys = keys.join(keys.groupBy("candidate_key").agg(F.min("id").alias("a")), "candidate_key").where("a < id").select("a", F.col("id").alias("b"))
-    return order_minhash.classes(links.union(heads).union(keys))
-
+    scope = F.when(F.col("firm").isNotNull() & (F.col("city") != ""), F.xxhash64("firm", "level", "city"))
+    return staged(head.select(_coded("inbox_id", HEADS), "candidate_key", "bare", F.concat_ws(" ", "role", "team").alias("text"), scope.alias("scope")), "candidate-heads")
 
-def _job_classes(spark: SparkSession, d: str) -> DataFrame:
-    text = F.get_json_object("payload", "$.description")
-    rows = table(spark, d, "jobs").select("id", text.alias("text"), F.lit(0).cast("long").alias("scope"))
-    return order_minhash.classes(order_minhash.near_duplicates(rows, "job-sketches", m=16, least=SAME_OPENING))
 
-
-def _requirement_classes(spark: SparkSession, d: str) -> DataFrame:
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    """(record_kind, id, class) of records that say the same, by their descriptions or sentences; a candidate without a
+    description is known by its title, level, city and firm, or by its candidate_key."""
+    j = table(spark, d, "jobs").select(_coded("id", 0), F.get_json_object("payload", "$.description").alias("text"), F.lit(0).cast("long").alias("scope"))
+    c = table(spark, d, "candidates").select(_coded("inbox_id", 1), F.col("description").alias("text"), F.lit(1).cast("long").alias("scope"))
     r = table(spark, d, "job_requirements").select("requirement_id", "job_key", "requirement").distinct()
-    rows = r.select(F.col("requirement_id").alias("id"), F.col("requirement").alias("text"), F.xxhash64("job_key").alias("scope"))
-    return order_minhash.classes(order_minhash.near_duplicates(rows, "requirement-sketches", "letters", k=4, band=16))
+    r = r.select(_coded("requirement_id", 2), F.col("requirement").alias("text"), F.xxhash64("job_key").alias("scope"))
+    head = _heads(spark, d)
+    near = head.join(head.where("bare").select("scope").distinct(), "scope", "left_semi").select("id", "text", "scope")
+    om = order_minhash
+    sketches = om.sketched(j.union(c), "words", 5, 3, 32).union(om.sketched(r, "letters", 4, 2, 12)).union(om.sketched(near, "letters", 5, 2, 12))
+    links = staged(om.linked(staged(sketches, "sketches"), "records", RULES), "record-links")
+    # titles must be alike by edits too
+    is_head = F.col("a") % len(RULES) == HEADS
+    t = head.select("id", "text")
+    heads = links.where(is_head).join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select((F.col("a") - HEADS + 1).alias("a"), (F.col("b") - HEADS + 1).alias("b"))
+    keys = head.join(head.where("bare").select("candidate_key").distinct(), "candidate_key", "left_semi")
+    keys = keys.join(keys.groupBy("candidate_key").agg(F.min("id").alias("a")), "candidate_key").where("a < id").select((F.col("a") - HEADS + 1).alias("a"), (F.col("id") - HEADS + 1).alias("b"))
+    x = om.classes(links.where(~is_head).union(heads).union(keys))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % len(RULES)).cast("int") + 1)
+    return x.select(kind.alias("record_kind"), F.expr(f"id div {len(RULES)}").alias("id"), F.expr(f"class div {len(RULES)}").alias("class"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {"job": _job_classes, "candidate": _candidate_classes, "requirement": _requirement_classes}
-    parts = [order_minhash.pairs_of(f(spark, d)).select(F.lit(kind).alias("record_kind"), "id_1", "id_2") for kind, f in kinds.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    x = _classes(spark, d)
+    a, b = x.withColumnRenamed("id", "id_1"), x.withColumnRenamed("id", "id_2")
+    return a.join(b, ["record_kind", "class"]).where("id_1 < id_2").select("record_kind", "id_1", "id_2")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record that says the same as another: its class (smallest id) and how many others the class holds."""
+    x = staged(_classes(spark, d), "record-classes")
+    n = x.groupBy("record_kind", "class").agg((F.count("*") - 1).alias("links"))
+    return x.join(n, ["record_kind", "class"]).select("record_kind", "id", F.col("class").alias("class_id"), "links")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -232,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_survivor": p4_survivor,
     "p4_merged": p4_merged,
