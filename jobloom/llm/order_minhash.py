@@ -31,6 +31,7 @@ from jobloom.operators.components import connected_components
 from jobloom.session import staged
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOW = np.uint64((1 << 20) - 1)  # places in a text of up to a million k-mers; longer ones take more bits
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,15 +75,17 @@ def order_minhash(symbols: np.ndarray, off: np.ndarray, k: int, ell: int, m: int
     if not n:
         return keys.view(np.int64)
     count = np.diff(bounds)
-    owner = np.repeat(np.arange(n), count)
+    # the low bits of an order hold the place in the text, so the minimum says where it is
+    bits = np.maximum(LOW, np.uint64((1 << int(count.max()).bit_length()) - 1))
+    place = (np.arange(len(h)) - np.repeat(starts, count)).astype(np.uint64)
+    at = np.empty((n, ell), np.int64)
     for t in range(m):
         c = (seed * 1000003 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
         v = (h ^ np.uint64(c)) * np.uint64((c >> 7) * 2 + 1 & 0xFFFFFFFFFFFFFFFF)  # h is mixed, so this orders well enough
-        at = np.empty((n, ell), np.int64)
+        v = v & ~bits | place
         for r in range(ell):
-            low = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero(v == np.repeat(low, count))[::-1]
-            at[owner[hit], r] = hit
+            first = (np.minimum.reduceat(v, starts) & bits).astype(np.int64)
+            at[:, r] = starts + np.where(first < count, first, 0)  # a text of fewer k-mers repeats its first
             v[at[:, r]] = TOP
         at.sort(axis=1)
         key = np.full(n, t + 1, np.uint64)
@@ -294,22 +297,18 @@ BITS = 512
 BLOCK = 4096  # rows of a bucket that are compared in one task
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the form (last column) by its size and a signature: one bit for each symbol labelled by occurrence."""
-    for b in batches:
-        raw = b.column(b.num_columns - 1).to_pylist()
-        size = np.array([len(x) // 2 for x in raw], np.int64)
-        off = np.concatenate(([0], np.cumsum(size)))
-        h, bounds = kmers(np.frombuffer(b"".join(raw), "<u2").astype(np.uint64), off, 1)
-        bits = np.zeros((len(raw), BITS), bool)
-        bits[np.repeat(np.arange(len(raw)), np.diff(bounds)), (h % np.uint64(BITS)).astype(np.int64)] = True
-        sign = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * (BITS // 8)).astype(np.int32)), pa.py_buffer(np.packbits(bits, axis=1).tobytes())])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int32()), sign], names=[*b.schema.names[:-1], "size", "sign"])
+def signatures(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, signatures) of forms: one bit for each symbol labelled by occurrence."""
+    size = np.array([len(x) // 2 for x in raw], np.int64)
+    h, bounds = kmers(np.frombuffer(b"".join(raw), "<u2").astype(np.uint64), np.concatenate(([0], np.cumsum(size))), 1)
+    bits = np.zeros((len(raw), BITS), bool)
+    bits[np.repeat(np.arange(len(raw)), np.diff(bounds)), (h % np.uint64(BITS)).astype(np.int64)] = True
+    return size, np.packbits(bits, axis=1).view(np.uint64)
 
 
 def _possible(group: np.ndarray, side: np.ndarray, id_: np.ndarray, part: np.ndarray, size: np.ndarray, sign: np.ndarray, least: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of one group, different parts and different sides (or no sides, -1) that may be `least` (by kind) alike;
-    rows are sorted by group. A symbol whose bit the other text lacks is not in it, so the bits of one text alone bound
+    """Pairs of rows of one group, different parts and different sides (or no sides, below 0) that may be `least` (by
+    kind) alike; rows are sorted by group. A symbol whose bit the other text lacks is not in it, so the bits of one text alone bound
     what both share."""
     n = len(group)
     end = np.searchsorted(group, group, "right")
@@ -325,25 +324,31 @@ def _possible(group: np.ndarray, side: np.ndarray, id_: np.ndarray, part: np.nda
         x, y = sign[i], sign[j]
         only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
         ok = np.minimum(size[i] - only_x, size[j] - only_y) >= need
-        a, b = id_[i[ok]], id_[j[ok]]
-        yield np.minimum(a, b), np.maximum(a, b)
+        yield i[ok], j[ok]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of rows (group, side, id, part, size, sign) sorted by group; a group may span batches and is
-    bounded by two blocks."""
+    """The alike pairs (a, b), a < b, of rows (group, side, id, part, form) sorted by group; a group may span batches and
+    is bounded by two blocks."""
     held: list[tuple[np.ndarray, ...]] = []
     least = np.array([r[0] for r in rules])
 
     def pairs(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        for a, b in _possible(*cols, least):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        ids, form = cols[2], cols[4]
+        for i, j in _possible(*cols[:4], *cols[5:], least):
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            # a pair that shares several buckets of a batch is aligned once
+            _, one = np.unique(np.stack((a, b)), axis=1, return_index=True)
+            cand = pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(form[i[one]], pa.binary()), pa.array(form[j[one]], pa.binary())], names=["a", "b", "x", "y"])
+            yield from _similar(iter([cand]), rules)
 
     for batch in batches:
         if not len(batch):
             continue
-        cols = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
-        cols += (np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(batch), -1),)
+        raw = batch.column(4).to_pylist()
+        form = np.empty(len(raw), object)
+        form[:] = raw
+        cols = (*(np.asarray(batch.column(i)).astype(np.int64) for i in range(4)), form, *signatures(raw))
         # what the last group has so far waits for the next batch
         cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
         if cut:
@@ -358,23 +363,19 @@ def _compared(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Re
 
 
 def remaining(sketches: DataFrame, shared: DataFrame, links: DataFrame, rules: Rules, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: texts of one bucket that links leave in different classes and that may be alike. Only buckets of
-    more than one class are looked at, as ids and signatures. A bucket of more than `block` rows is cut, and every two
-    of its cuts meet in a task of their own. Pairs that can't be alike are never written."""
+    """(a, b), a < b: alike texts of one bucket that links leave in different classes. Only buckets of more than one
+    class are looked at. A bucket of more than `block` rows is cut, and every two of its cuts meet in a task of their
+    own. Texts are compared where their bucket lies, so no pair is written that isn't a link."""
     parts = classes(links).withColumnRenamed("class", "part")
     x = shared.select("key", "id", "n").join(parts, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part"))
     x = staged(x, "bucket-parts")
     mixed = x.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    x = x.join(mixed, "key")
-    cuts = F.ceil(F.col("n") / block).cast("int")
-    x = x.groupBy("id", "part").agg(F.collect_list(F.struct("key", cuts.alias("cuts"))).alias("own"))  # at most m a text
-    x = x.join(sketches.select("id", "form"), "id").select("id", "part", "own", "form").mapInArrow(_signed, "id long, part long, own array<struct<key: long, cuts: int>>, size int, sign binary")
-    x = x.select("id", "part", "size", "sign", F.explode("own").alias("o")).select("id", "part", "size", "sign", "o.key", "o.cuts")
+    x = x.join(mixed, "key").withColumn("cuts", F.ceil(F.col("n") / block).cast("int")).join(sketches.select("id", "form"), "id")
     x = x.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     group = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other")))
-    side = F.when(F.col("cut") == F.col("other"), F.when(F.col("cuts") == 1, -1).otherwise(-2)).when(F.col("cut") < F.col("other"), 0).otherwise(1)
-    x = x.select(group.alias("group"), side.alias("side"), "id", "part", "size", "sign").repartition("group").sortWithinPartitions("group")
+    side = F.when(F.col("cut") == F.col("other"), -1).when(F.col("cut") < F.col("other"), 0).otherwise(1)
+    x = x.select(group.alias("group"), side.alias("side"), "id", "part", "form").repartition("group").sortWithinPartitions("group")
     return x.mapInArrow(lambda it: _compared(it, rules), "a long, b long").distinct()
 
 
@@ -383,7 +384,7 @@ def linked(sketches: DataFrame, name: str, rules: Rules) -> DataFrame:
     are linked, directly or through others."""
     shared = staged(buckets(sketches), name + "-buckets")
     links = staged(verified(stars(shared), sketches, rules), name + "-stars")
-    return links.union(verified(remaining(sketches, shared, links, rules), sketches, rules))
+    return links.union(remaining(sketches, shared, links, rules))
 
 
 def near_duplicates(rows: DataFrame, name: str, symbols_of: str = "words", k: int = 5, ell: int = 3, m: int = 32, least: float = 0.8, band: int = 32) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.urls import TRACKING, page_key
 from jobloom.llm import canonical, mixing, names, openings, order_minhash, packing, plain_form, segment_index, subjects, survivor, tokens
-from jobloom.session import staged, table
+from jobloom.session import stage_root, staged, table
 
 
 # Word-level share of an opening's text that its edited copies keep; texts of different openings keep less than half.
@@ -57,40 +58,42 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return parsed.join(firm, "company", "left").drop("company")
 
 
-def _bodies(spark: SparkSession, d: str) -> DataFrame:
-    """(ord, text): the descriptions of jobs and candidates."""
-    j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("ord"), F.get_json_object("payload", "$.description").alias("text"))
-    return j.union(table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("description").alias("text")))
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for the segment index: ord, key, text, block, scopes and form, with batch (0 for the catalog)."""
+    x = _postings(spark, d)
+    text = openings.interleaved(F.col("role"), F.col("team"))
+    whole = F.col("firm").isNotNull() & (F.col("city") != "")
+    scopes = F.array(F.when(F.col("city") != "", F.xxhash64(F.lit("city"), "city", "level")), F.when(F.col("firm").isNotNull(), F.xxhash64(F.lit("firm"), "firm", "level")))
+    key = F.when(F.col("ord") > 0, F.col("key"))  # keys of the catalog are addresses
+    x = x.select("ord", key.alias("key"), F.col("key").alias("prior_key"), text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), scopes.alias("scopes"))
+    j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("id"), F.get_json_object("payload", "$.description").alias("text"), F.lit(0).alias("batch"))
+    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.col("batch_no").alias("batch"))
+    b = j.union(c)
+    forms = order_minhash.sketched(b.select("id", "text", F.lit(0).cast("long").alias("scope")), "words", 5, 1, 1).select(F.col("id").alias("ord"), "form")
+    return staged(x.join(b.select(F.col("id").alias("ord"), "batch"), "ord").join(forms, "ord", "left"), "arrivals")
+
+
+def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
+    """(inbox_id, prior_key): candidates that repeat an opening, going through the catalog and then `at_once` batches at
+    a time by a new index in the shared folder."""
+    x = _arrivals(spark, d)
+    index = segment_index.SegmentIndex(spark, f"{stage_root(spark)}/segment-index-{uuid.uuid4().hex}", least=SAME_OPENING)
+    load = F.when(F.col("batch") > 0, F.floor((F.col("batch") - 1) / at_once) + 1).otherwise(F.coalesce("batch", F.lit(0)))
+    x = x.withColumn("load", load.cast("int"))
+    for r in x.select("load").distinct().orderBy("load").collect():  # one number a load
+        index.add(x.where(F.col("load") == r.load))
+    found = index.result().where("label < ord AND ord > 0")
+    prior = x.select(F.col("ord").alias("label"), "prior_key")
+    return found.join(prior, "label").select(F.col("ord").alias("inbox_id"), "prior_key")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    most = 3
-    x = _postings(spark, d).where("role IS NOT NULL")
-    text = openings.interleaved(F.col("role"), F.col("team"))
-    whole = F.col("firm").isNotNull() & (F.col("city") != "")
-    x = x.select("ord", "key", text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), "level", "firm", "city")
-    x = x.withColumn("entry", F.when(F.col("block").isNull(), F.xxhash64("ord", F.lit("row"))).otherwise(F.xxhash64("block", "text")))
-    x = staged(x, "postings")
-    links = staged(segment_index.link_entries(staged(segment_index.as_entries(x), "entries"), most), "entry-links")
-    # the same key is the same posting
-    keys = x.where("ord > 0").groupBy("key").agg(F.min("entry").alias("entry_a"), F.max("entry").alias("_z")).where("entry_a <> _z").select("key", "entry_a")
-    by_key = x.where("ord > 0").join(keys, "key").select("entry_a", F.col("entry").alias("entry_b"))
-    # a row without firm or city has no block: it is held against rows of the same title and level, and the same city
-    # or firm, and must say the same in its description
-    near = []
-    for known, missing in (("city", "firm IS NULL AND city <> ''"), ("firm", "firm IS NOT NULL AND city = ''")):
-        scope = F.xxhash64(known, "level", "text")
-        open_ = x.where(missing).select(scope.alias("scope")).distinct()
-        near.append(x.where(F.col(known).isNotNull() & (F.col(known).cast("string") != "")).select("ord", "entry", scope.alias("scope")).join(open_, "scope", "left_semi"))
-    near = staged(near[0].union(near[1]).distinct(), "open-postings")
-    rows = near.join(_bodies(spark, d), "ord").select(F.col("ord").alias("id"), "text", "scope")
-    same = order_minhash.near_duplicates(rows, "open-sketches", least=SAME_OPENING)
-    own = near.select("ord", "entry").distinct()
-    by_text = same.join(own.select(F.col("ord").alias("a"), F.col("entry").alias("entry_a")), "a").join(own.select(F.col("ord").alias("b"), F.col("entry").alias("entry_b")), "b")
-    links = links.union(by_key).union(by_text.select("entry_a", "entry_b")).where("entry_a <> entry_b")
-    found = segment_index.first_arrivals(x, links)
-    prior = x.select(F.col("ord").alias("first"), F.col("key").alias("prior_key"))
-    return found.where("first < ord AND ord > 0").join(prior, "first").select(F.col("ord").alias("inbox_id"), "prior_key")
+    return _first_postings(spark, d, 8)
+
+
+def p2_batchwise(spark: SparkSession, d: str) -> DataFrame:
+    """p2_found with each batch on its own; the same rows."""
+    return _first_postings(spark, d, 1)
 
 
 KINDS = {"job": 0, "candidate": 1, "requirement": 2}
@@ -123,15 +126,19 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "job_requirements").select("requirement_id", "job_key", "requirement").distinct()
     r = r.select(_coded("requirement_id", 2), F.col("requirement").alias("text"), F.xxhash64("job_key").alias("scope"))
     head = _heads(spark, d)
-    near = head.join(head.where("bare").select("scope").distinct(), "scope", "left_semi").select("id", "text", "scope")
+    # equal titles of a scope are one node, and only scopes with a candidate to be found by its title are looked at
+    near = head.where("scope IS NOT NULL").groupBy("scope", "text").agg(F.min("id").alias("first"), F.bool_or("bare").alias("bare"))
+    near = staged(near.join(near.where("bare").select("scope").distinct(), "scope", "left_semi"), "candidate-titles")
+    copies = head.join(near.where("bare").select("scope", "text", "first"), ["scope", "text"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = near.select(F.col("first").alias("id"), "text", "scope")
     om = order_minhash
     sketches = om.sketched(j.union(c), "words", 5, 3, 32).union(om.sketched(r, "letters", 4, 2, 12)).union(om.sketched(near, "letters", 5, 2, 12))
     links = staged(om.linked(staged(sketches, "sketches"), "records", RULES), "record-links")
     # titles must be alike by edits too
     is_head = F.col("a") % len(RULES) == HEADS
-    t = head.select("id", "text")
+    t = near.select("id", "text")
     heads = links.where(is_head).join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select((F.col("a") - HEADS + 1).alias("a"), (F.col("b") - HEADS + 1).alias("b"))
+    heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select("a", "b").union(copies).select((F.col("a") - HEADS + 1).alias("a"), (F.col("b") - HEADS + 1).alias("b"))
     keys = head.join(head.where("bare").select("candidate_key").distinct(), "candidate_key", "left_semi")
     keys = keys.join(keys.groupBy("candidate_key").agg(F.min("id").alias("a")), "candidate_key").where("a < id").select((F.col("a") - HEADS + 1).alias("a"), (F.col("id") - HEADS + 1).alias("b"))
     x = om.classes(links.where(~is_head).union(heads).union(keys))
@@ -254,6 +261,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_batchwise": p2_batchwise,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
