@@ -1,31 +1,33 @@
 """Problem 2: each new batch against all history, by a segment index for edit distance.
 
-A text of length L is cut into most + 1 segments of fixed place and length; two texts within `most` edits share at
-least one segment near its place. The index stores one row a segment; a batch probes it with the few substrings that
-can match, joins on equality alone, checks the edit distance and is then appended itself. History is never read again,
-only its index.
-
-Texts are compared inside a block (an exact key); equal texts of a block are one entry with its first arrival. Null
-texts are no entries; texts shorter than 4 * (most + 1) characters match only when equal, as the bound would otherwise
-join everything. Nothing is capped: every substring that can match is probed.
+A text of length L is cut into k + 1 segments of fixed place and length; two texts within k edits share at least one
+segment near its place. The index stores one row a segment; a batch probes it with the few substrings that can match,
+joins on equality alone, checks the edit distance and is then appended itself.
+
+k is `most` from 16 characters on, 1 from 4 on and 0 below, by the shorter text; so short texts are indexed like long
+ones, with fewer segments. Texts are compared inside a block (an exact key); equal texts of a block are one entry, named
+by its first arrival. Null texts are no entries. Nothing is capped: every substring that can match is probed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.llm import order_minhash
 from jobloom.llm.order_minhash import mix
 from jobloom.llm.plain_form import code_points
-
+from jobloom.operators.components import connected_components
 from jobloom.session import staged
 
 
 P = np.uint64(0x100000001B3)
+LONG = 16  # characters from which a text may differ in `most` edits
 
 
 class _Texts:
@@ -65,6 +67,11 @@ def _cut(length: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return i * n + np.maximum(0, i - (k + 1 - rest)), n + (i >= k + 1 - rest)
 
 
+def _edits(length: np.ndarray, most: int) -> np.ndarray:
+    """Edits that may part a text of some length from a text that isn't shorter."""
+    return np.where(length >= LONG, most, np.where(length >= 4, min(1, most), 0))
+
+
 def _emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     entries = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -77,9 +84,12 @@ def segments(entries: DataFrame, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = _rolling(b)
-            rows = np.flatnonzero(t.length >= 4 * (most + 1))
-            length = t.length[rows]
-            yield _emit([(t.keys(rows, *_cut(length, i, most), length, i), t.entry[rows]) for i in range(most + 1)])
+            parts = []
+            for k in {0, min(1, most), most}:
+                rows = np.flatnonzero((_edits(t.length, most) == k) & (t.length > 0))
+                length = t.length[rows]
+                parts += [(t.keys(rows, *_cut(length, i, k), length, i), t.entry[rows]) for i in range(k + 1)]
+            yield _emit(parts)
 
     return entries.select("block", "text", "entry").mapInArrow(run, "key long, entry long")
 
@@ -96,17 +106,20 @@ def probes(entries: DataFrame, most: int, both_ways: bool) -> DataFrame:
             parts = []
             for delta in range(-most if both_ways else 0, most + 1):  # own length less the other's
                 other = t.length - delta
-                full = np.flatnonzero(other >= 4 * (most + 1))
-                for i in range(most + 1):
-                    start, size = _cut(other[full], i, most)
-                    lo = np.maximum(0, np.maximum(start - i, start + delta - (most - i)))
-                    hi = np.minimum(t.length[full] - size, np.minimum(start + i, start + delta + (most - i)))
-                    for step in range(2 * most + 1):
-                        ok = lo + step <= hi
-                        if not ok.any():
-                            break
-                        rows = full[ok]
-                        parts.append((t.keys(rows, (lo + step)[ok], size[ok], other[rows], i), t.entry[rows]))
+                for k in {0, min(1, most), most}:
+                    if abs(delta) > k:
+                        continue
+                    full = np.flatnonzero((_edits(other, most) == k) & (other > 0))
+                    for i in range(k + 1):
+                        start, size = _cut(other[full], i, k)
+                        lo = np.maximum(0, np.maximum(start - i, start + delta - (k - i)))
+                        hi = np.minimum(t.length[full] - size, np.minimum(start + i, start + delta + (k - i)))
+                        for step in range(2 * k + 1):
+                            ok = lo + step <= hi
+                            if not ok.any():
+                                break
+                            rows = full[ok]
+                            parts.append((t.keys(rows, (lo + step)[ok], size[ok], other[rows], i), t.entry[rows]))
             yield _emit(parts)
 
     return entries.select("block", "text", "entry").mapInArrow(run, "key long, entry long")
@@ -116,71 +129,155 @@ def alike(a: Column, b: Column, most: int) -> Column:
     """Within `most` edits, with the same digits, and, where both have as many words, no short word changed and no
     long one by more than two."""
     # the bound first: it settles most pairs, and cheaply
-    near = (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b, most) >= 0)
+    least = F.least(F.length(a), F.length(b))
+    d = F.levenshtein(a, b, most)
+    near = (F.abs(F.length(a) - F.length(b)) <= most) & (d >= 0) & (d <= F.when(least >= LONG, most).when(least >= 4, min(1, most)).otherwise(0))
     same_digits = F.regexp_replace(a, r"[^0-9]+", " ") == F.regexp_replace(b, r"[^0-9]+", " ")
     x, y = F.split(a, " "), F.split(b, " ")
     close = F.zip_with(x, y, lambda p, q: (p == q) | ((F.least(F.length(p), F.length(q)) >= 4) & (F.levenshtein(p, q, 2) >= 0)))
     return near & same_digits & ((F.size(x) != F.size(y)) | F.forall(close, lambda c: c))
 
 
-def matches(probe: DataFrame, index: DataFrame, texts_a: DataFrame, texts_b: DataFrame, most: int) -> DataFrame:
-    """(entry_a, entry_b): probing and stored entries whose texts (entry, text) are alike; entries don't match
-    themselves."""
-    x = probe.select("key", F.col("entry").alias("entry_a")).join(index.select("key", F.col("entry").alias("entry_b")), "key")
-    x = x.where("entry_a <> entry_b").select("entry_a", "entry_b").distinct()
-    x = x.join(texts_a.select(F.col("entry").alias("entry_a"), F.col("text").alias("text_a")), "entry_a")
-    x = x.join(texts_b.select(F.col("entry").alias("entry_b"), F.col("text").alias("text_b")), "entry_b")
-    return x.where(alike(F.col("text_a"), F.col("text_b"), most)).select("entry_a", "entry_b")
-
-
 def as_entries(rows: DataFrame) -> DataFrame:
-    """rows (block, text, ord) as entries: entry (hash of block and text), block, text, ord (the first arrival)."""
-    x = rows.where("block IS NOT NULL AND text IS NOT NULL")
-    return x.groupBy("block", "text").agg(F.min("ord").alias("ord")).withColumn("entry", F.xxhash64("block", "text"))
-
-
-class SegmentIndex:
-    """An index kept as tables under path: append(rows) adds a batch, repeats(rows) finds what a batch repeats of
-    earlier batches and of itself. Rows are (block, text, ord); ord rises with arrival and is unique. A batch reads the
-    segments and, of the texts, those of entries it shares a segment with; never the rows of history."""
-
-    def __init__(self, spark, path: str, most: int = 3):
-        self.spark, self.path, self.most = spark, path, most
-        self.batches = 0
-
-    def append(self, rows: DataFrame) -> None:
-        e = as_entries(rows)
-        segments(e, self.most).write.mode("append").parquet(f"{self.path}/segments")
-        e.select("entry", "text", "ord").write.mode("append").parquet(f"{self.path}/texts")
-        self.batches += 1
-
-    def repeats(self, rows: DataFrame) -> DataFrame:
-        """(ord, prior): rows of the batch with an earlier arrival of an alike text, and the first such arrival."""
-        e = as_entries(rows)
-        index, texts = segments(e, self.most), e.select("entry", "text", "ord")
-        if self.batches:
-            index = index.union(self.spark.read.parquet(f"{self.path}/segments"))
-            texts = texts.union(self.spark.read.parquet(f"{self.path}/texts"))
-        # an entry may have arrived in several batches
-        texts = texts.groupBy("entry").agg(F.first("text").alias("text"), F.min("ord").alias("ord"))
-        x = matches(probes(e, self.most, True), index, e, texts, self.most)
-        x = x.union(e.select(F.col("entry").alias("entry_a"), F.col("entry").alias("entry_b")))
-        first = x.join(texts.select(F.col("entry").alias("entry_b"), "ord"), "entry_b").groupBy("entry_a").agg(F.min("ord").alias("prior"))
-        r = rows.select("ord", F.xxhash64("block", "text").alias("entry_a")).join(first, "entry_a")
-        return r.where("prior < ord").select("ord", "prior")
+    """rows (block, text, ord) as entries: block, text and entry, the first arrival."""
+    return rows.where("block IS NOT NULL AND text IS NOT NULL").groupBy("block", "text").agg(F.min("ord").alias("entry"))
 
 
 def link_entries(entries: DataFrame, most: int) -> DataFrame:
-    """(entry_a, entry_b): all alike entries of a set, each pair once; what appending and probing them one by one
-    gives."""
-    return matches(probes(entries, most, False), segments(entries, most), entries, entries, most)
-
+    """(a, b): all alike entries of a set, each pair once."""
+    x = probes(entries, most, False).withColumnRenamed("entry", "a").join(segments(entries, most).withColumnRenamed("entry", "b"), "key")
+    x = x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        x = x.join(entries.select(F.col("entry").alias(side), F.col("text").alias("text_" + side)), side)
+    return x.where(alike(F.col("text_a"), F.col("text_b"), most)).select("a", "b")
+
+
+TABLES = {
+    "segments": ("key", "key BIGINT, entry BIGINT"),
+    "probes": ("key", "key BIGINT, entry BIGINT"),
+    "entries": ("entry", "entry BIGINT, text STRING, body BIGINT, open BOOLEAN, label BIGINT"),
+    "forms": ("id", "id BIGINT, form BINARY"),
+    "keys": ("key", "key STRING, label BIGINT"),
+    "rows": ("ord", "ord BIGINT, key STRING, label BIGINT"),
+    "merges": ("a", "a BIGINT, b BIGINT"),
+    "loads": ("done", "done STRING, buckets INT"),
+}
 
-def first_arrivals(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(ord, entry, first): rows with the first arrival among all that links connect them to."""
-    from jobloom.operators.components import connected_components
 
-    parts = staged(connected_components(links, "entry_a", "entry_b"), "entry-parts")
-    x = rows.join(parts, rows["entry"] == parts["node"], "left").select("ord", "entry", F.coalesce("component", "entry").alias("part"))
-    first = x.groupBy("part").agg(F.min("ord").alias("first"))
-    return x.join(first, "part").select("ord", "entry", "first")
+class SegmentIndex:
+    """An index kept as tables under a shared path; another session may open it again and go on.
+
+    add(rows) links a batch with itself and all history and appends it. Rows are
+      ord (unique, rises with arrival), key (of the posting, or null), text, block (null: not known well enough),
+      scopes (what is known, as further blocks), form (of the description, or null; order_minhash.sketched).
+    Rows alike in their block are one opening, so are rows of one key. A row without block is open: it is held against
+    all rows of its scopes, and those of alike text are the same opening if their descriptions are. An opening's label
+    is its first arrival. When a batch shows two openings to be one, that is noted (merges) and holds from then on, so
+    what result() says doesn't depend on how the rows were cut into batches.
+
+    Tables are bucketed by the key they are joined by: a batch shuffles its own probes, never history. Of texts, labels
+    and descriptions of history it takes those that share a segment. A batch that fails midway leaves rows of a load
+    that was never finished, which no reader takes; adding it again is safe.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 3, least: float = 0.8, band: int = 32):
+        self.spark, self.path, self.most, self.rules = spark, path, most, [(least, band)]
+        self._name = "segment_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self._define("loads")
+        first = self._table("loads").agg(F.max("buckets")).first()[0]  # one number
+        self.buckets = first or self.buckets
+        for t in TABLES:
+            self._define(t)
+
+    def _define(self, name: str) -> None:
+        by, columns = TABLES[name]
+        buckets = 1 if name == "loads" else self.buckets
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_{name} ({columns}, load STRING) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self._name}_{name}")
+
+    def _stored(self, name: str) -> DataFrame:
+        """A table's rows of finished loads."""
+        done = [r.done for r in self._table("loads").select("done").collect()]  # one name a batch
+        return self._table(name).where(F.col("load").isin(done) if done else F.lit(False)).drop("load")
+
+    def _append(self, name: str, rows: DataFrame, load: str) -> None:
+        by, columns = TABLES[name]
+        x = rows.select(*(c.split()[0] for c in columns.split(", ")), F.lit(load).alias("load"))
+        x = x.repartition(1 if name == "loads" else self.buckets, by)
+        x.write.insertInto(f"{self._name}_{name}")
+
+    def _entries(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(entries: entry, block, text, scopes, open, body; members: ord, key, entry) of a batch."""
+        whole = "block IS NOT NULL AND text IS NOT NULL"
+        form = F.when(F.col("form").isNotNull(), F.col("ord"))
+        e = rows.where(whole).groupBy("block", "text").agg(F.min("ord").alias("entry"), F.min(form).alias("body"), F.first("scopes").alias("scopes"))
+        e = staged(e, "entries")
+        lone = rows.where(f"NOT ({whole})")
+        members = rows.where(whole).select("ord", "key", "block", "text").join(e.select("block", "text", "entry"), ["block", "text"]).select("ord", "key", "entry")
+        members = members.union(lone.select("ord", "key", F.col("ord").alias("entry")))
+        e = e.select("entry", "block", "text", "scopes", F.lit(False).alias("open"), "body")
+        return e.union(lone.select(F.col("ord").alias("entry"), F.lit(None).cast("long"), "text", "scopes", F.lit(True), form)), members
+
+    def _described(self, pairs: DataFrame, forms: DataFrame) -> DataFrame:
+        """Of pairs (a, b, body_a, body_b), those whose descriptions are alike."""
+        x = pairs.where("body_a IS NOT NULL AND body_b IS NOT NULL AND body_a <> body_b")
+        ids = x.select(F.explode(F.array("body_a", "body_b")).alias("id")).distinct()
+        near = forms.join(ids, "id", "left_semi").union(self._stored("forms").join(ids, "id", "left_semi"))
+        own = x.select(F.col("body_a").alias("a"), F.col("body_b").alias("b")).distinct()
+        alike_ = order_minhash.verified(own, staged(near, "open-forms"), self.rules).withColumnsRenamed({"a": "body_a", "b": "body_b"})
+        return x.join(alike_, ["body_a", "body_b"]).select("a", "b", "label_a", "label_b")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """(ord, label) of the batch's rows, after appending it."""
+        load = uuid.uuid4().hex
+        rows = staged(rows.select("ord", "key", "text", "block", "scopes", "form"), "batch")
+        e, members = self._entries(rows)
+        e, members = staged(e, "batch-entries"), staged(members, "batch-members")
+        blocks = e.where("block IS NOT NULL").select("block", "text", "entry")
+        scopes = e.where("text IS NOT NULL").select(F.explode("scopes").alias("block"), "text", "entry", "open").where("block IS NOT NULL")
+        seg = staged(segments(blocks.union(scopes.drop("open")), self.most), "batch-segments")
+        open_probes = staged(probes(scopes.where("open").drop("open"), self.most, True), "batch-open-probes")
+        probe = probes(blocks, self.most, True).union(open_probes).withColumnRenamed("entry", "a").repartition(self.buckets, "key")
+        near = probe.join(seg.withColumnRenamed("entry", "b"), "key").select("a", "b")
+        old = probe.join(self._stored("segments").withColumnRenamed("entry", "b"), "key").select("a", "b")
+        old = old.union(seg.withColumnRenamed("entry", "a").join(self._stored("probes").withColumnRenamed("entry", "b"), "key").select("a", "b"))
+        near = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = near.withColumn("stored", F.lit(False)).union(old.distinct().withColumn("stored", F.lit(True)))
+        pairs = staged(pairs, "batch-pairs")
+        own = e.select("entry", "text", "body", "open", F.col("entry").alias("label"))
+        side = lambda t, s: t.select(F.col("entry").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("text", "body", "open", "label")))
+        pairs = pairs.join(side(own, "a"), "a")
+        found = pairs.where("NOT stored").join(side(own, "b"), "b").unionByName(pairs.where("stored").join(side(self._stored("entries"), "b"), "b"))
+        found = staged(found.where(alike(F.col("text_a"), F.col("text_b"), self.most)).drop("text_a", "text_b"), "batch-alike")
+        vague = F.col("open_a") | F.col("open_b")
+        forms = rows.where("form IS NOT NULL").select(F.col("ord").alias("id"), "form")
+        links = found.where(~vague).select("label_a", "label_b").union(self._described(found.where(vague), forms).select("label_a", "label_b"))
+        # the same key is the same posting
+        keyed = members.where("key IS NOT NULL").select("key", "entry")
+        least = keyed.groupBy("key").agg(F.min("entry").alias("least"))
+        keys = staged(least.join(self._stored("keys"), "key", "left").select("key", "least", "label"), "batch-keys")
+        links = links.union(keys.where("label IS NOT NULL").select("least", "label"))
+        links = links.union(keyed.join(least, "key").where("entry <> least").select("least", "entry"))
+        merges = self._stored("merges")
+        parts = staged(connected_components(links.union(merges), "label_a", "label_b"), "batch-parts").withColumnRenamed("component", "label")
+        labels = e.select("entry").join(parts.withColumnRenamed("node", "entry"), "entry", "left").select("entry", F.coalesce("label", "entry").alias("label"))
+        labels = staged(labels, "batch-labels")
+        self._append("segments", seg, load)
+        self._append("probes", open_probes, load)
+        self._append("entries", e.join(labels, "entry"), load)
+        self._append("forms", forms, load)
+        self._append("keys", least.join(labels, least["least"] == labels["entry"]), load)
+        out = staged(members.join(labels, "entry").select("ord", "key", "label"), "batch-rows")
+        self._append("rows", out, load)
+        moved = parts.where("node <> label").join(labels, parts["node"] == labels["entry"], "left_anti")
+        self._append("merges", moved.join(merges.select(F.col("a").alias("node"), F.col("b").alias("label")), ["node", "label"], "left_anti").select(F.col("node").alias("a"), F.col("label").alias("b")), load)
+        self._append("loads", self.spark.createDataFrame([(load, self.buckets)], "done string, buckets int"), load)
+        return out.select("ord", "label")
+
+    def result(self) -> DataFrame:
+        """(ord, key, label): all rows with the first arrival of their opening, by all that is known now."""
+        now = staged(connected_components(self._stored("merges"), "a", "b"), "merged").select(F.col("node").alias("label"), "component")
+        return self._stored("rows").join(now, "label", "left").select("ord", "key", F.coalesce("component", "label").alias("label"))
