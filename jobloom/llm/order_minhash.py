@@ -57,13 +57,18 @@ def kmers(symbols: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
     owner = np.repeat(np.arange(len(lens)), count)
     h = mix(h[np.arange(bounds[-1]) - bounds[:-1][owner] + start[:-1][owner]])
     tied = h ^ mix(owner.astype(np.uint64) + np.uint64(7))
-    order = np.argsort(tied, kind="stable")
-    same = np.concatenate(([False], tied[order][1:] == tied[order][:-1]))
-    if same.any():
-        run = np.arange(len(h)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-        label = np.empty(len(h), np.uint64)
-        label[order] = run.astype(np.uint64)
-        h = h + label * np.uint64(0x9E3779B97F4A7C15)
+    order = np.sort(tied)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if len(twice):
+        # few k-mers occur twice in a text: those that may, by their top bits, are looked at
+        may = np.zeros(1 << 16, bool)
+        may[twice >> np.uint64(48)] = True
+        at = np.flatnonzero(may[tied >> np.uint64(48)])
+        own = tied[at]
+        by = np.argsort(own, kind="stable")
+        same = np.concatenate(([False], own[by][1:] == own[by][:-1]))
+        run = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+        h[at[by]] += run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return h, bounds
 
 
@@ -222,10 +227,11 @@ def letters(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 SYMBOLS = {"words": words, "letters": letters}
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that none holds more than about `most` bytes of text."""
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none holds more than about `most` bytes of text in a column."""
     for b in batches:
-        off = np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[b.column(1).offset :][: len(b) + 1]
+        text = b.column(column).cast(pa.large_string())
+        off = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][: len(b) + 1]
         lo = 0
         while lo < len(b):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
@@ -234,16 +240,32 @@ def _bounded(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterat
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], symbols_of: str, k: int, ell: int, m: int) -> Iterator[pa.RecordBatch]:
-    for b in _bounded(batches):
+    for b in bounded(batches, 1):
         symbols, off = SYMBOLS[symbols_of](b.column(1))
         full = np.flatnonzero(np.diff(off))  # wordless texts have no sketch
         off = np.concatenate(([0], off[1:][full]))
         scope = np.asarray(b.column(2), dtype=np.int64)[full]
         keys = order_minhash(symbols, off, k, ell, m) ^ mix(scope.view(np.uint64))[:, None].view(np.int64)
-        small = (mix(symbols) >> np.uint64(48)).astype("<u2")
-        form = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(small)])
         own = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * m), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), own, form], names=["id", "keys", "form"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), own, _small(symbols, off)], names=["id", "keys", "form"])
+
+
+def _small(symbols: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The form of texts: 16 bits a symbol."""
+    small = (mix(symbols) >> np.uint64(48)).astype("<u2")
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(small)])
+
+
+def forms(rows: DataFrame, symbols_of: str = "words") -> DataFrame:
+    """rows (id long, text) as id and form, for comparing without a search; texts without a word are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, 1):
+            symbols, off = SYMBOLS[symbols_of](b.column(1))
+            full = np.flatnonzero(np.diff(off))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), _small(symbols, np.concatenate(([0], off[1:][full])))], names=["id", "form"])
+
+    return rows.select("id", "text").where("text IS NOT NULL").mapInArrow(run, "id long, form binary")
 
 
 def sketched(rows: DataFrame, symbols_of: str, k: int, ell: int, m: int) -> DataFrame:
@@ -291,7 +313,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame:
     return x.mapInArrow(lambda it: _similar(it, rules), "a long, b long")
 
 
-BITS = 512
+BITS = 1024
 
 
 BLOCK = 4096  # rows of a bucket that are compared in one task
@@ -338,7 +360,8 @@ def _compared(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Re
         for i, j in _possible(*cols[:4], *cols[5:], least):
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             # a pair that shares several buckets of a batch is aligned once
-            _, one = np.unique(np.stack((a, b)), axis=1, return_index=True)
+            o = np.lexsort((b, a))
+            one = o[np.concatenate(([True], (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])))[: len(o)]]
             cand = pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(form[i[one]], pa.binary()), pa.array(form[j[one]], pa.binary())], names=["a", "b", "x", "y"])
             yield from _similar(iter([cand]), rules)
 
