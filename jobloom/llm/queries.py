@@ -69,7 +69,7 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("id"), F.get_json_object("payload", "$.description").alias("text"), F.lit(0).alias("batch"))
     c = table(spark, d, "candidates").select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.col("batch_no").alias("batch"))
     b = j.union(c)
-    forms = order_minhash.sketched(b.select("id", "text", F.lit(0).cast("long").alias("scope")), "words", 5, 1, 1).select(F.col("id").alias("ord"), "form")
+    forms = order_minhash.forms(b).withColumnRenamed("id", "ord")
     return staged(x.join(b.select(F.col("id").alias("ord"), "batch"), "ord").join(forms, "ord", "left"), "arrivals")
 
 
@@ -88,7 +88,7 @@ def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _first_postings(spark, d, 8)
+    return _first_postings(spark, d, 12)
 
 
 def p2_batchwise(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +210,10 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
-    sized = _sized(spark, d)
+    return _packed(spark, d, _sized(spark, d))
+
+
+def _packed(spark: SparkSession, d: str, sized: DataFrame) -> DataFrame:
     parts = []
     for r in table(spark, d, "pack_sizes").orderBy("capacity_tokens").collect():  # a fixed list of three
         x = packing.packed(sized, "doc_id", "n_tokens", r.capacity_tokens)
@@ -228,19 +231,64 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return x.select("size_name", "capacity", "containers", "pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used"))
 
 
+def _budget(sized: DataFrame, targets: DataFrame) -> float:
+    """Half of the tokens that sources with a target hold: more than exact shares can give, so repetition limits keep
+    the exponent below 1."""
+    return sized.join(F.broadcast(targets.select("source").distinct()), "source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] / 2
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.mix(sized, targets, "doc_id", budget=_budget(sized, targets))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id")[0]
+    return _mixed(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p8_shares_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix that gives every target exactly."""
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id")[1]
 
 
-def p8_shares_tempered(spark: SparkSession, d: str) -> DataFrame:
-    """Half as many tokens as the sources with a target hold: repetition limits keep the exponent below 1."""
+def p8_shares_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """The mix whose entropy is half way between that of the natural mixture and that of the targets."""
     sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
-    all_tokens = sized.join(F.broadcast(targets), "source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    return mixing.mix(sized, targets, "doc_id", budget=all_tokens / 2)[1]
+    natural, target, _ = mixing.natural_and_target(sized, targets)
+    wished = sum(mixing.entropy(mixing.weights(natural, target, x)) for x in (0.0, 1.0)) / 2
+    return mixing.mix(sized, targets, "doc_id", wished_entropy=wished)[1]
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What every mix must keep, by target: its documents, and whether limits and weights are kept and nothing is left
+    that an unused document would fit into."""
+    docs, shares = _mixed(spark, d)
+    docs, shares = staged(docs, "mix"), staged(shares, "shares")
+    x = docs.join(F.broadcast(shares.select("source", "max_repeats", "unfilled")), "source")  # the fixed list of targets
+    few = x.groupBy("source").agg(F.min("times").alias("few"))
+    fits = (F.col("times") == F.col("few")) & (F.col("few") < F.col("max_repeats")) & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("unfilled"))
+    x = x.join(F.broadcast(few), "source").groupBy("source").agg(F.count("*").alias("documents"), (F.max("times") <= F.max("max_repeats")).alias("limit_kept"), (~F.bool_or(fits)).alias("filled"))
+    w = shares.select("source", (F.col("used") <= F.col("wanted")).alias("weight_kept"), ((F.col("exponent") > 0) & (F.col("exponent") < 1)).alias("bisected"))
+    x = w.join(x, "source", "left")
+    return x.select("source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("limit_kept", F.lit(True)).alias("limit_kept"), "weight_kept", F.coalesce("filled", F.lit(True)).alias("filled"), "bisected")
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must keep, by capacity: how many documents have a place, and how many containers are too full
+    or have holes, and documents cut although they'd fit or not wholly there."""
+    sized = _sized(spark, d)
+    x = staged(_packed(spark, d, sized), "packed").join(F.broadcast(table(spark, d, "pack_sizes")), "size_name")  # a fixed list of three
+    c = x.groupBy("size_name", "container_id").agg(F.sum("length").alias("n"), F.first("capacity_tokens").alias("room"), F.count("*").alias("k"), F.max("place").alias("last"), F.countDistinct("place").alias("places"))
+    c = c.groupBy("size_name").agg(F.count_if("n > room").alias("overfull"), F.count_if("places <> k OR last <> k - 1").alias("holes"))
+    p = x.groupBy("size_name", "doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.first("capacity_tokens").alias("room"), F.sum(F.col("start") + F.col("length")).alias("ends"), F.sum("start").alias("starts"))
+    p = p.join(sized.select("doc_id", "n_tokens"), "doc_id")
+    wrong = (F.col("n") != F.col("n_tokens")) | (F.col("ends") - F.col("starts") != F.col("n_tokens")) | (F.col("k") != F.ceil(F.col("n_tokens") / F.col("room")))
+    p = p.groupBy("size_name").agg(F.count("*").alias("documents"), F.count_if(wrong).alias("wrongly_cut"))
+    return p.join(c, "size_name").select("size_name", "documents", "overfull", "holes", "wrongly_cut")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -272,9 +320,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_plain_titles": p6_plain_titles,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p7_checks": p7_checks,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
-    "p8_shares_tempered": p8_shares_tempered,
+    "p8_shares_exact": p8_shares_exact,
+    "p8_shares_entropy": p8_shares_entropy,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
@@ -312,5 +363,14 @@ WHERE trust = bt AND seen = bs AND filled = bf GROUP BY group_id HAVING count(*)
     FROM s WHERE job_key IS NOT NULL AND page IS NOT NULL WINDOW w AS (PARTITION BY job_key, page))
 SELECT job_key, page, group_id, group_rows, source_id, trust = bt AND seen = bs AND filled = bf AND same = 1 AS dominant
 FROM q WHERE r = 1""",
+    "p4_merged": f"""WITH {_SOURCES_SQL},
+  r AS (SELECT *, {{'t': -trust, 's': seen, 'i': -source_id}} AS k FROM s WHERE job_key IS NOT NULL AND page IS NOT NULL)
+SELECT job_key, page, min(source_id) AS group_id, count(DISTINCT source_id) AS group_rows,
+  {", ".join(f"arg_max({c}, k) FILTER ({c} IS NOT NULL{filled}) AS {c}" for c, filled in (("url", " AND trim(url) <> ''"), ("provider", " AND trim(provider) <> ''"), ("name", " AND trim(name) <> ''"), ("official", ""), ("posted_on", ""), ("http_status", "")))},
+  arg_max(last_verified_at, k) FILTER (last_verified_at IS NOT NULL) AS last_verified_at
+FROM r GROUP BY 1, 2""",
     "p5_found": canonical.plain_sql(),
+    "p7_checks": """SELECT size_name, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::bigint AS overfull, 0::bigint AS holes, 0::bigint AS wrongly_cut FROM pack_sizes""",
+    "p8_checks": """SELECT t.source, count(d.doc_id) AS documents, true AS limit_kept, true AS weight_kept, true AS filled, true AS bisected
+FROM mix_targets t LEFT JOIN documents d ON d.source = t.source WHERE target_share > 0 GROUP BY 1""",
 }

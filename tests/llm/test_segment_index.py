@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm.order_minhash import sketched
+from jobloom.llm.order_minhash import forms
 from jobloom.llm.segment_index import SegmentIndex, as_entries, link_entries
 
 
@@ -94,8 +94,8 @@ def brute(rows):
 
 def given(spark, rows):
     x = spark.createDataFrame(rows, INPUT)
-    forms = sketched(x.select(F.col("ord").alias("id"), F.col("body").alias("text"), F.lit(0).cast("long").alias("scope")), "words", 5, 1, 1)
-    return x.drop("body").join(forms.select(F.col("id").alias("ord"), "form"), "ord", "left")
+    own = forms(x.select(F.col("ord").alias("id"), F.col("body").alias("text")))
+    return x.drop("body").join(own.select(F.col("id").alias("ord"), "form"), "ord", "left")
 
 
 @pytest.mark.parametrize("cuts", [(0, 200), (0, 30, 31, 60, 200)])
