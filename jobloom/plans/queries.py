@@ -167,9 +167,9 @@ _REQ = "trim(regexp_replace(lower(strip_accents(requirement)), '\\s+', ' ', 'g')
 
 @query(f"""
 WITH r AS (SELECT DISTINCT requirement_id, requirement, {_REQ} AS x FROM job_requirements)
-SELECT requirement_id, CASE WHEN regexp_matches(x, '\\b({req.LEVEL_WORDS[4]})\\b') THEN 4 WHEN regexp_matches(x, '\\b({req.LEVEL_WORDS[3]})\\b') THEN 3
-    WHEN regexp_matches(x, '\\b({req.LEVEL_WORDS[2]})\\b') THEN 2 WHEN regexp_matches(x, '\\b({req.LEVEL_WORDS[1]})\\b') THEN 1 END AS level,
-  nullif(regexp_extract(replace(x, ',', '.'), '(\\d+(?:\\.\\d+)?) ?\\+? ?(?:anos?|years?)\\b', 1), '')::double AS min_years FROM r""")
+SELECT requirement_id, CASE WHEN regexp_matches(x, 'especialista|expert|arquitetura avancada') THEN 4 WHEN regexp_matches(x, 'avancad|advanced|domin(io|ar)|solido|proficien') THEN 3
+    WHEN regexp_matches(x, 'intermedi') THEN 2 WHEN regexp_matches(x, 'basic|fundament|noc(ao|oes)|introdutor|familiaridade') THEN 1 END AS level,
+  nullif(regexp_extract(replace(x, ',', '.'), '(\\d+(?:\\.\\d+)?)\\s*\\+?\\s*(?:anos?|years?)', 1), '')::double AS min_years FROM r""")
 def requirement_levels(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "job_requirements").select("requirement_id", "requirement").distinct()
     return r.select("requirement_id", req.level(F.col("requirement")).alias("level"), req.min_years(F.col("requirement")).alias("min_years"))
@@ -410,4 +410,4 @@ def first_requirements(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("r", F.row_number().over(w)).where("r <= 3").select("job_key", "position", "requirement_id")
 
 
-from jobloom.plans import catalog, extraction, streams  # noqa: E402, F401
+from jobloom.plans import catalog, extraction, requirements, streams  # noqa: E402, F401
