@@ -107,15 +107,20 @@ def _coded(id_column: str, kind: int) -> Column:
     return (F.col(id_column) * len(RULES) + kind).alias("id")
 
 
+def _bare() -> Column:
+    """Whether a candidate has no description."""
+    return (F.coalesce(F.trim("description"), F.lit("")) == "").alias("bare")
+
+
 def _heads(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with what is known without their description: id, candidate_key, bare (no description), text (role
-    and team) and scope (firm, level and city)."""
+    """Candidates by what is known without their description: id, bare (no description), text (role and team) and scope
+    (firm, level and city); those without firm or city are left out. Titles are read before any join, so only what is
+    needed of them moves."""
     c = table(spark, d, "candidates")
-    bare = F.coalesce(F.trim("description"), F.lit("")) == ""
-    head = c.select("inbox_id", "candidate_key", "company", bare.alias("bare"), "title", "location").join(_company_firms(spark, d, c.select("company")), "company", "left")
-    head = openings.with_opening(head, "title", "location")
-    scope = F.when(F.col("firm").isNotNull() & (F.col("city") != ""), F.xxhash64("firm", "level", "city"))
-    return staged(head.select(_coded("inbox_id", HEADS), "candidate_key", "bare", F.concat_ws(" ", "role", "team").alias("text"), scope.alias("scope")), "candidate-heads")
+    head = openings.with_opening(c.where("company IS NOT NULL").select("inbox_id", "company", _bare(), "title", "location"), "title", "location")
+    head = head.where("city <> '' AND role IS NOT NULL").select(_coded("inbox_id", HEADS), "company", "bare", F.concat_ws(" ", "role", "team").alias("text"), F.xxhash64("level", "city").alias("place"))
+    head = head.join(_company_firms(spark, d, c.select("company")), "company").where("firm IS NOT NULL")
+    return staged(head.select("id", "bare", "text", F.xxhash64("firm", "place").alias("scope")), "candidate-heads")
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +132,7 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     r = r.select(_coded("requirement_id", 2), F.col("requirement").alias("text"), F.xxhash64("job_key").alias("scope"))
     head = _heads(spark, d)
     # equal titles of a scope are one node, and only scopes with a candidate to be found by its title are looked at
-    near = head.where("scope IS NOT NULL").groupBy("scope", "text").agg(F.min("id").alias("first"), F.bool_or("bare").alias("bare"))
+    near = head.groupBy("scope", "text").agg(F.min("id").alias("first"), F.bool_or("bare").alias("bare"))
     near = staged(near.join(near.where("bare").select("scope").distinct(), "scope", "left_semi"), "candidate-titles")
     copies = head.join(near.where("bare").select("scope", "text", "first"), ["scope", "text"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     near = near.select(F.col("first").alias("id"), "text", "scope")
@@ -139,8 +144,10 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     t = near.select("id", "text")
     heads = links.where(is_head).join(t.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     heads = heads.where(segment_index.alike(F.col("x"), F.col("y"), 3)).select("a", "b").union(copies).select((F.col("a") - HEADS + 1).alias("a"), (F.col("b") - HEADS + 1).alias("b"))
-    keys = head.join(head.where("bare").select("candidate_key").distinct(), "candidate_key", "left_semi")
-    keys = keys.join(keys.groupBy("candidate_key").agg(F.min("id").alias("a")), "candidate_key").where("a < id").select((F.col("a") - HEADS + 1).alias("a"), (F.col("id") - HEADS + 1).alias("b"))
+    # keys by 128 bits of them
+    k = table(spark, d, "candidates").where("candidate_key IS NOT NULL").select(_coded("inbox_id", 1), F.xxhash64("candidate_key").alias("k1"), F.xxhash64(F.lit("-"), "candidate_key").alias("k2"), _bare())
+    k = k.join(k.where("bare").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    keys = k.join(k.groupBy("k1", "k2").agg(F.min("id").alias("a")), ["k1", "k2"]).where("a < id").select("a", F.col("id").alias("b"))
     x = om.classes(links.where(~is_head).union(heads).union(keys))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % len(RULES)).cast("int") + 1)
     return x.select(kind.alias("record_kind"), F.expr(f"id div {len(RULES)}").alias("id"), F.expr(f"class div {len(RULES)}").alias("class"))
