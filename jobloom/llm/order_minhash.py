@@ -256,16 +256,18 @@ def _small(symbols: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(small)])
 
 
-def forms(rows: DataFrame, symbols_of: str = "words") -> DataFrame:
-    """rows (id long, text) as id and form, for comparing without a search; texts without a word are left out."""
+def forms(rows: DataFrame, symbols_of: str = "words", keep: str = "id") -> DataFrame:
+    """rows (id long, text, and a number to keep) as id, form and that number, for comparing without a search; texts
+    without a word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1):
             symbols, off = SYMBOLS[symbols_of](b.column(1))
             full = np.flatnonzero(np.diff(off))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), _small(symbols, np.concatenate(([0], off[1:][full])))], names=["id", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), _small(symbols, np.concatenate(([0], off[1:][full]))), b.column(2).take(pa.array(full))], names=["id", "form", "kept"])
 
-    return rows.select("id", "text").where("text IS NOT NULL").mapInArrow(run, "id long, form binary")
+    x = rows.select("id", "text", F.col(keep).cast("long").alias("kept")).where("text IS NOT NULL").mapInArrow(run, "id long, form binary, kept long")
+    return x.select("id", "form", *([F.col("kept").alias(keep)] if keep != "id" else []))
 
 
 def sketched(rows: DataFrame, symbols_of: str, k: int, ell: int, m: int) -> DataFrame:

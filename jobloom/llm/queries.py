@@ -45,43 +45,47 @@ def _company_firms(spark: SparkSession, d: str, companies: DataFrame) -> DataFra
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, firm, role, level, team, city.
+    """Jobs and candidates in order of arrival (jobs first, ord below 0): ord, key, batch (0 for
+    the catalog), described (has a description), firm, role, level, team, city.
 
     Each step is written before the next, so that no plan holds them all."""
     j = table(spark, d, "jobs")
     at = F.coalesce("location", F.get_json_object("payload", "$.location"))
-    j = j.select((F.col("id") - JOBS_BEFORE).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"))
-    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location")
+    said = F.coalesce(F.trim(F.get_json_object("payload", "$.description")), F.lit("")) != ""
+    j = j.select((F.col("id") - JOBS_BEFORE).alias("ord"), "key", "company", F.col("role").alias("title"), at.alias("location"), F.lit(0).alias("batch"), said.alias("described"))
+    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("ord"), F.col("candidate_key").alias("key"), "company", "title", "location", F.coalesce("batch_no", F.lit(0)).alias("batch"), (~_bare()).alias("described"))
     x = staged(j.union(c), "postings-raw")
     firm = _company_firms(spark, d, x.select("company"))
     parsed = staged(openings.with_opening(x, "title", "location"), "postings-parsed")
     return parsed.join(firm, "company", "left").drop("company")
 
 
-def _arrivals(spark: SparkSession, d: str) -> DataFrame:
-    """Rows for the segment index: ord, key, text, block, scopes and form, with batch (0 for the catalog)."""
+def _arrivals(spark: SparkSession, d: str, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """(rows for the segment index: ord, key, text, block, scopes, described, with prior_key; descriptions: id, form),
+    both with load: 0 for the catalog, then one for each `at_once` batches."""
+
+    def load(batch: str) -> Column:
+        return F.when(F.col(batch) > 0, F.floor((F.col(batch) - 1) / at_once) + 1).otherwise(0).cast("int").alias("load")
+
     x = _postings(spark, d)
     text = openings.interleaved(F.col("role"), F.col("team"))
     whole = F.col("firm").isNotNull() & (F.col("city") != "")
     scopes = F.array(F.when(F.col("city") != "", F.xxhash64(F.lit("city"), "city", "level")), F.when(F.col("firm").isNotNull(), F.xxhash64(F.lit("firm"), "firm", "level")))
     key = F.when(F.col("ord") > 0, F.col("key"))  # keys of the catalog are addresses
-    x = x.select("ord", key.alias("key"), F.col("key").alias("prior_key"), text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), scopes.alias("scopes"))
-    j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("id"), F.get_json_object("payload", "$.description").alias("text"), F.lit(0).alias("batch"))
-    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), F.col("batch_no").alias("batch"))
-    b = j.union(c)
-    forms = order_minhash.forms(b).withColumnRenamed("id", "ord")
-    return staged(x.join(b.select(F.col("id").alias("ord"), "batch"), "ord").join(forms, "ord", "left"), "arrivals")
+    x = x.select("ord", key.alias("key"), F.col("key").alias("prior_key"), text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), scopes.alias("scopes"), "described", load("batch"))
+    j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("id"), F.get_json_object("payload", "$.description").alias("text"))
+    c = table(spark, d, "candidates").select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), load("batch_no"))
+    forms = order_minhash.forms(j.withColumn("load", F.lit(0)).union(c), keep="load")
+    return staged(x, "arrivals"), staged(forms, "descriptions")
 
 
 def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
     """(inbox_id, prior_key): candidates that repeat an opening, going through the catalog and then `at_once` batches at
     a time by a new index in the shared folder."""
-    x = _arrivals(spark, d)
+    x, forms = _arrivals(spark, d, at_once)
     index = segment_index.SegmentIndex(spark, f"{stage_root(spark)}/segment-index-{uuid.uuid4().hex}", least=SAME_OPENING)
-    load = F.when(F.col("batch") > 0, F.floor((F.col("batch") - 1) / at_once) + 1).otherwise(F.coalesce("batch", F.lit(0)))
-    x = x.withColumn("load", load.cast("int"))
     for r in x.select("load").distinct().orderBy("load").collect():  # one number a load
-        index.add(x.where(F.col("load") == r.load))
+        index.add(x.where(F.col("load") == r.load), forms.where(F.col("load") == r.load))
     found = index.result().where("label < ord AND ord > 0")
     prior = x.select(F.col("ord").alias("label"), "prior_key")
     return found.join(prior, "label").select(F.col("ord").alias("inbox_id"), "prior_key")

@@ -167,9 +167,10 @@ TABLES = {
 class SegmentIndex:
     """An index kept as tables under a shared path; another session may open it again and go on.
 
-    add(rows) links a batch with itself and all history and appends it. Rows are
+    add(rows, forms) links a batch with itself and all history and appends it. Rows are
       ord (unique, rises with arrival), key (of the posting, or null), text, block (null: not known well enough),
-      scopes (what is known, as further blocks), form (of the description, or null; order_minhash.sketched).
+      scopes (what is known, as further blocks), described (whether forms has a description of it),
+    and forms (id, form) holds the descriptions by ord (order_minhash.forms).
     Rows alike in their block are one opening, so are rows of one key. A row without block is open: it is held against
     all rows of its scopes, and those of alike text are the same opening if their descriptions are. An opening's label
     is its first arrival. When a batch shows two openings to be one, that is noted (merges) and holds from then on, so
@@ -212,7 +213,7 @@ class SegmentIndex:
     def _entries(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(entries: entry, block, text, scopes, open, body; members: ord, key, entry) of a batch."""
         whole = "block IS NOT NULL AND text IS NOT NULL"
-        form = F.when(F.col("form").isNotNull(), F.col("ord"))
+        form = F.when(F.col("described"), F.col("ord"))
         e = rows.where(whole).groupBy("block", "text").agg(F.min("ord").alias("entry"), F.min(form).alias("body"), F.first("scopes").alias("scopes"))
         e = staged(e, "entries")
         lone = rows.where(f"NOT ({whole})")
@@ -230,10 +231,11 @@ class SegmentIndex:
         alike_ = order_minhash.verified(own, staged(near, "open-forms"), self.rules).withColumnsRenamed({"a": "body_a", "b": "body_b"})
         return x.join(alike_, ["body_a", "body_b"]).select("a", "b", "label_a", "label_b")
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """(ord, label) of the batch's rows, after appending it."""
+    def add(self, rows: DataFrame, forms: DataFrame) -> DataFrame:
+        """(ord, label) of the batch's rows, after appending it. rows and forms are read more than once, so what is
+        costly to compute should be written before."""
         load = uuid.uuid4().hex
-        rows = staged(rows.select("ord", "key", "text", "block", "scopes", "form"), "batch")
+        forms = forms.select("id", "form")
         e, members = self._entries(rows)
         e, members = staged(e, "batch-entries"), staged(members, "batch-members")
         blocks = e.where("block IS NOT NULL").select("block", "text", "entry")
@@ -253,7 +255,6 @@ class SegmentIndex:
         found = pairs.where("NOT stored").join(side(own, "b"), "b").unionByName(pairs.where("stored").join(side(self._stored("entries"), "b"), "b"))
         found = staged(found.where(alike(F.col("text_a"), F.col("text_b"), self.most)).drop("text_a", "text_b"), "batch-alike")
         vague = F.col("open_a") | F.col("open_b")
-        forms = rows.where("form IS NOT NULL").select(F.col("ord").alias("id"), "form")
         links = found.where(~vague).select("label_a", "label_b").union(self._described(found.where(vague), forms).select("label_a", "label_b"))
         # the same key is the same posting
         keyed = members.where("key IS NOT NULL").select("key", "entry")

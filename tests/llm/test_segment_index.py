@@ -94,8 +94,7 @@ def brute(rows):
 
 def given(spark, rows):
     x = spark.createDataFrame(rows, INPUT)
-    own = forms(x.select(F.col("ord").alias("id"), F.col("body").alias("text")))
-    return x.drop("body").join(own.select(F.col("id").alias("ord"), "form"), "ord", "left")
+    return x.withColumn("described", F.coalesce("body", F.lit("")) != "").drop("body"), forms(x.select(F.col("ord").alias("id"), F.col("body").alias("text")))
 
 
 @pytest.mark.parametrize("cuts", [(0, 200), (0, 30, 31, 60, 200)])
@@ -104,7 +103,7 @@ def test_batches_give_what_all_at_once_gives(spark, tmp_path, cuts):
     path = str(tmp_path / "ix")
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         index = SegmentIndex(spark, path, least=0.999)  # opened anew each time: history is what lies under the path
-        index.add(given(spark, [r for r in rows if lo <= r[0] < hi]))
+        index.add(*given(spark, [r for r in rows if lo <= r[0] < hi]))
     got = {r.ord: r.label for r in SegmentIndex(spark, path).result().collect()}
     # a block's equal texts hold one description, that of the first row that has any
     assert got == brute(rows)
@@ -112,9 +111,9 @@ def test_batches_give_what_all_at_once_gives(spark, tmp_path, cuts):
 
 def test_unfinished_loads_do_not_count(spark, tmp_path):
     index = SegmentIndex(spark, str(tmp_path / "ix"))
-    rows = given(spark, [(1, "k", "analista de dados senior", 5, [8], None)])
-    index.add(rows.limit(0))
+    rows, own = given(spark, [(1, "k", "analista de dados senior", 5, [8], None)])
+    index.add(rows.limit(0), own)
     index._append("rows", spark.createDataFrame([(1, "k", 1)], "ord long, key string, label long"), "broken off")
     assert index.result().count() == 0
-    index.add(rows)
+    index.add(rows, own)
     assert [tuple(r) for r in index.result().collect()] == [(1, "k", 1)]
