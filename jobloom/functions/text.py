@@ -69,3 +69,31 @@ def jaccard(a: Column, b: Column) -> Column:
     """|A ∩ B| / |A ∪ B| of two arrays; 0 if either is empty or null."""
     i, u = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), i / u).otherwise(F.lit(0.0))
+
+
+# Words that say nothing in a requirement, other spellings of its terms, and short words of titles.
+STOP_WORDS = ("conhecimento", "experiencia", "vivencia", "basico", "intermediario", "avancado", "para", "com", "uma", "das", "dos", "que", "atuar", "desenvolver")
+TERMS = {"restful": "rest", "restapi": "api", "restapis": "api", "postgres": "postgresql", "nodejs": "node", "amazonwebservices": "aws", "googlecloud": "gcp",
+         "microsoftazure": "azure", "microservices": "microservice", "microsservicos": "microservice"}
+TITLE_WORDS = {"jr": "junior", "eng": "engineer", "dev": "developer"}
+
+
+def _mapped(words: Column, table: dict[str, str]) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), w)))
+
+
+def requirement_tokens(items: Column) -> Column:
+    """The terms of a list of requirements: words of three signs or more (letters, digits, + # .), without words that say
+    nothing, in one spelling. A null list has none."""
+    words = F.filter(F.split(norm_tech(F.array_join(items, " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    return F.coalesce(_mapped(words, TERMS), F.array().cast("array<string>"))
+
+
+def title_tokens(title: Column) -> Column:
+    return _mapped(tokens(title), TITLE_WORDS)
+
+
+def similarity_band(similarity: Column) -> Column:
+    """'duplicate' from 0.9, 'review' from 0.75, else null."""
+    return F.when(similarity >= 0.9, "duplicate").when(similarity >= 0.75, "review")

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import jaccard
 from jobloom.session import staged
 
 
-def token_groups(rows: DataFrame, id_column: str, block: str, *tokens: str) -> tuple[DataFrame, DataFrame]:
-    """(members: id, block and the sorted token sets t0, t1, ..; groups: block, sets, rep, n): rows equal in their block
-    and in every set are one group of n rows with its smallest id as rep. Rows with a null block or an empty or null set
-    are in none."""
+def token_groups(rows: DataFrame, id_column: str, block: str, *tokens: str, tags: tuple[str, ...] = (), order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members: id, block, the sorted token sets t0, t1, .. and tags; groups: block, sets, tags, rep, n, o): rows equal
+    in their block, every set and every tag are one group of n rows; rep is its first row by order (by id if there is
+    none) and o that row's order. Rows with a null block or an empty or null set are in none."""
     sets = [F.array_sort(F.array_distinct(c)).alias(f"t{i}") for i, c in enumerate(tokens)]
     full = " AND ".join(["block IS NOT NULL", *(f"size(t{i}) > 0" for i in range(len(tokens)))])
-    x = staged(rows.select(F.col(id_column).alias("id"), F.col(block).alias("block"), *sets).where(full), "token-sets")
-    groups = x.groupBy("block", *(f"t{i}" for i in range(len(tokens)))).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    return x, groups
+    o = (F.col(id_column) if order is None else order).alias("o")
+    x = staged(rows.select(F.col(id_column).alias("id"), F.col(block).alias("block"), *sets, *tags, o).where(full), "token-sets")
+    groups = x.groupBy("block", *(f"t{i}" for i in range(len(tokens))), *tags).agg(F.min_by("id", "o").alias("rep"), F.count("*").alias("n"), F.min("o").alias("o"))
+    return x.drop("o"), groups
 
 
 def group_links(groups: DataFrame, *least: float) -> DataFrame:
-    """(a, b, similarity), a < b: reps of one block whose every set ti is at least least[i] (> 0) similar; similarity is
-    that of t0.
+    """(a, b, similarity, similarity1, ..), a < b: reps of one block whose every set ti is at least least[i] (> 0)
+    similar, with the similarities of the sets.
 
     Prefix filter: tokens are ordered from rare to frequent; sets that are similar enough share one of their first
     n - ceil(least * n) + 1 tokens, so only groups that share one of each set are joined.
@@ -46,7 +47,7 @@ def group_links(groups: DataFrame, *least: float) -> DataFrame:
     alike = [jaccard(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(least))]
     for s, part in zip(alike, least, strict=True):
         y = y.where(s >= part - 1e-12)
-    return y.select("a", "b", alike[0].alias("similarity"))
+    return y.select("a", "b", *(a.alias(f"similarity{i or ''}") for i, a in enumerate(alike)))
 
 
 def jaccard_links(rows: DataFrame, id_column: str, block: str, tokens: str, least: float) -> DataFrame:
@@ -57,34 +58,36 @@ def jaccard_links(rows: DataFrame, id_column: str, block: str, tokens: str, leas
     """
     x, groups = token_groups(rows, id_column, block, tokens)
     copies = x.join(groups, ["block", "t0"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return group_links(groups, least).union(copies)
+    return group_links(groups, least).select("a", "b", "similarity").union(copies)
 
 
-def first_winners(rows: DataFrame, links: DataFrame, order: str, rounds: int = 60) -> DataFrame:
+def first_winners(rows: DataFrame, links: DataFrame, order: str) -> DataFrame:
     """(id, winner): going through rows (id, order unique) in order, a row that is linked to an earlier winner belongs to
-    the first such winner; every other row is a winner (winner = id). links (a, b) point either way.
+    the first such winner; every other row is a winner (winner = id). links (a, b) point either way; order may be a
+    struct.
 
-    The loop over rows is replaced by rounds over the links: in each, rows whose earlier neighbours are all decided are
-    decided at once, so the number of rounds is the longest chain of undecided neighbours, not the number of rows.
+    The loop over rows is replaced by rounds over the links: in each, rows whose earlier neighbours are all decided, or
+    that have an earlier winner before any open one, are decided at once, so the number of rounds is the longest chain
+    of undecided neighbours, not the number of rows. The first open row is always decided, so rounds go on until none is
+    open. Only links of open rows are carried on.
     """
     ord_ = rows.select(F.col("id"), F.col(order).alias("o"))
     e = links.select("a", "b").join(ord_.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(ord_.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-    later = F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a"))
-    early = F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b"))
-    e = staged(e.where("oa <> ob").select(later.alias("id"), early.alias("by"), F.least("oa", "ob").alias("by_o")).distinct(), "links")
-    free = ord_.join(e.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("winner"))
-    decided = staged(free, "decided")
-    for _ in range(rounds):
-        open_ = e.join(decided.select("id"), "id", "left_anti")
-        seen = open_.join(decided.select(F.col("id").alias("by"), F.col("winner").alias("of")), "by", "left")
-        # settled by the first winner among the earlier neighbours, if none before it is still open
-        won = F.col("of").eqNullSafe(F.col("by"))
-        s = seen.groupBy("id").agg(
-            F.min(F.when(won, F.struct("by_o", "by"))).alias("w"), F.min(F.when(F.col("of").isNull(), F.col("by_o"))).alias("open")
-        )
-        s = s.where("open IS NULL OR w.by_o < open").select("id", F.coalesce("w.by", "id").alias("winner"))
-        s = staged(s, "decided-now")
-        if s.isEmpty():
+    first = F.col("oa") < F.col("ob")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    e = staged(e.where("oa <> ob").select(pick("b", "a").alias("id"), pick("a", "b").alias("by"), pick("oa", "ob").alias("by_o")).distinct(), "links")
+    parts = [staged(ord_.join(e.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("winner")), "decided")]
+    e = e.withColumn("won", F.lit(None).cast("boolean"))
+    while True:
+        done = parts[-1].select(F.col("id").alias("by"), (F.col("winner") == F.col("id")).alias("now"))
+        e = e.join(done, "by", "left").select("id", "by", "by_o", F.coalesce("won", "now").alias("won"))
+        e = staged(e.join(parts[-1].select("id"), "id", "left_anti"), "open-links")
+        if e.isEmpty():
             break
-        decided = staged(decided.union(s), "decided")
-    return decided
+        s = e.groupBy("id").agg(F.min(F.when(F.col("won"), F.struct("by_o", "by"))).alias("w"), F.min(F.when(F.col("won").isNull(), F.col("by_o"))).alias("open"))
+        s = s.where("open IS NULL OR w.by_o < open")
+        parts.append(staged(s.select("id", F.coalesce("w.by", "id").alias("winner")), "decided"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out

@@ -141,3 +141,26 @@ def page_states(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "jobs").select("key", "status", F.lit(1).alias("attempts"), F.col("first_seen_at").alias("first_seen"), F.col("updated_at").alias("last_seen"))
     x = state.advance(h, o, "key", ["textless"], ["Encerrada"])
     return x.select("key", "status", "attempts", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+_BOARDS = """WITH u AS (SELECT inbox_id, trim(source_url) AS plain, 'https://www.linkedin.com/jobs/view/dev-' || (1000000 + inbox_id) || '?trk=x' AS numbered,
+    'https://banco' || inbox_id % 7 || '.gupy.io/jobs/' || inbox_id || '?jobBoardSource=y' AS board FROM candidates WHERE source_url IS NOT NULL)"""
+
+
+@query(_BOARDS + """
+SELECT inbox_id, lower(regexp_extract(plain, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(plain, '//([^/?#]*)', 1)) || regexp_replace(regexp_extract(plain, '//[^/?#]*([^?#]*)', 1), '/+$', '')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(plain, '^[^?#]*\\?([^#]*)', 1), '&'),
+      lambda p: regexp_matches(p, '=.') AND lower(split_part(p, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'trk', 'trackingid', 'jobboardsource'))), '&'), ''), '') AS audit,
+  lower(regexp_extract(lower(plain), '//(?:www\\.)?([^/?#]*)', 1) || regexp_replace(regexp_extract(plain, '//[^/?#]*([^?#]*)', 1), '/+$', '')) AS catalog,
+  'linkedin:' || (1000000 + inbox_id) AS numbered, 'banco' || inbox_id % 7 || '.gupy.io:' || inbox_id AS board, 'https://www.linkedin.com/jobs/view/' || (1000000 + inbox_id) AS again,
+  'linkedin' AS numbered_provider, 'gupy' AS board_provider, true AS is_posting FROM u""")
+def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of postings by their address: those of the inbox, and two numbered boards made out of their ids."""
+    i = F.col("inbox_id").cast("string")
+    u = table(spark, d, "candidates").where("source_url IS NOT NULL").select("inbox_id", F.col("source_url").alias("plain"),
+        F.concat(F.lit("https://www.linkedin.com/jobs/view/dev-"), (F.col("inbox_id") + 1_000_000).cast("string"), F.lit("?trk=x")).alias("numbered"),
+        F.concat(F.lit("https://banco"), (F.col("inbox_id") % 7).cast("string"), F.lit(".gupy.io/jobs/"), i, F.lit("?jobBoardSource=y")).alias("board"))
+    n = urls.canonical_id(F.col("numbered"))
+    return u.select("inbox_id", urls.canonical_id(F.col("plain")).alias("audit"), urls.catalog_id(F.col("plain")).alias("catalog"), n.alias("numbered"), urls.catalog_id(F.col("board")).alias("board"),
+                    urls.retry_address(n).alias("again"), urls.provider(F.col("numbered")).alias("numbered_provider"), urls.provider(F.col("board")).alias("board_provider"),
+                    (F.regexp_extract("board", "^https://([^/]*)", 1) == F.concat(F.lit("banco"), (F.col("inbox_id") % 7).cast("string"), F.lit(".gupy.io"))).alias("is_posting"))

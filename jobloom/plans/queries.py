@@ -89,14 +89,36 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with the terms of title (t) and requirements (r), the trust in their source (rank, more is better), whether
+    anybody verified them and when they were first seen."""
+    items = F.from_json(F.get_json_object("payload", "$.requirements"), "array<string>")
+    j = table(spark, d, "jobs").select("id", F.col("key").alias("job_key"), F.nullif(text.compact(F.col("company")), F.lit("")).alias("company"), text.title_tokens(F.col("role")).alias("t"), text.requirement_tokens(items).alias("r"), "first_seen_at", urls.host(F.col("key")).alias("host"))
+    p = table(spark, d, "source_registry").groupBy(urls.host(F.col("base_url")).alias("host")).agg((6 - F.min("priority")).alias("rank"))  # a fixed list
+    v = table(spark, d, "job_sources").where("last_verified_at IS NOT NULL").select("job_key").distinct().withColumn("verified", F.lit(True))
+    x = j.join(F.broadcast(p), "host", "left").join(v, "job_key", "left")
+    return x.select("id", "company", "t", "r", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("verified", F.lit(False)).alias("verified"), "first_seen_at")
+
+
+_TERMS = f"""WITH RECURSIVE w AS (SELECT id, key, first_seen_at, nullif(regexp_replace(lower(strip_accents(company)), '[^a-z0-9]+', '', 'g'), '') AS company,
+    list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower(strip_accents(role)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''),
+      lambda x: CASE x WHEN 'jr' THEN 'junior' WHEN 'eng' THEN 'engineer' WHEN 'dev' THEN 'developer' ELSE x END)) AS t,
+    list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower(strip_accents(array_to_string(json_extract_string(payload, '$.requirements[*]'), ' '))), '[^a-z0-9+#.]+', ' ', 'g')), ' '),
+        lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)})),
+      lambda x: CASE {" ".join(f"WHEN x = '{k}' THEN '{v}'" for k, v in text.TERMS.items())} ELSE x END)) AS r FROM jobs),
+  pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.r, b.r)) / len(list_distinct(list_concat(a.r, b.r))) AS similarity
+    FROM w a JOIN w b ON a.company = b.company AND a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0 AND len(a.r) > 0 AND len(b.r) > 0
+    WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.72 AND len(list_intersect(a.r, b.r)) / len(list_distinct(list_concat(a.r, b.r))) >= 0.45)"""
+
+
+@query(f"""{_TERMS},
+  reached(id, other) AS (SELECT a, b FROM pairs UNION SELECT reached.id, pairs.b FROM reached JOIN pairs ON pairs.a = reached.other)
+SELECT id, links, class FROM (SELECT a AS id, count(*) AS links FROM pairs GROUP BY 1) JOIN (SELECT id, least(id, min(other)) AS class FROM reached GROUP BY 1) USING (id)""")
 def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of one company with similar titles and requirements: each job with its class and its number of links."""
     from jobloom.operators.components import connected_components
 
-    items = F.from_json(F.get_json_object("payload", "$.requirements"), "array<string>")
-    j = table(spark, d, "jobs").select("id", "company", text.tokens(F.col("role")).alias("t"), text.tokens(F.array_join(items, " ")).alias("r"))
-    members, groups = similar.token_groups(j, "id", "company", "t", "r")
+    members, groups = similar.token_groups(_postings(spark, d), "id", "company", "t", "r")
     groups = staged(groups, "posting-groups")
     links = staged(similar.group_links(groups, 0.72, 0.45).select("a", "b"), "posting-links")
     # copies are linked to each other and to all that their group is linked to
@@ -109,18 +131,48 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
     return x.join(degree, "rep").join(parts, "rep").select("id", "links", "class")
 
 
-@query()
+@query(f"""{_TERMS},
+  trust AS (SELECT lower(regexp_extract(base_url, '//(?:www\\.)?([^/?#:]*)', 1)) AS host, 6 - min(priority) AS rank FROM source_registry GROUP BY 1),
+  ranked AS (SELECT w.id, coalesce(w.company, 'id ' || w.id) AS company, coalesce(rank, 0) AS rank,
+      row_number() OVER (PARTITION BY coalesce(w.company, 'id ' || w.id) ORDER BY coalesce(rank, 0) DESC, (key IN (SELECT job_key FROM job_sources WHERE last_verified_at IS NOT NULL)) DESC, first_seen_at DESC, w.id) AS place
+    FROM w LEFT JOIN trust ON trust.host = lower(regexp_extract(key, '//(?:www\\.)?([^/?#:]*)', 1))),
+  near AS (SELECT p.a AS id, list(p.b) AS others FROM pairs p JOIN ranked x ON x.id = p.a JOIN ranked y ON y.id = p.b WHERE similarity >= 0.9 OR x.rank <> y.rank GROUP BY 1),
+  step(company, place, id, winner, winners) AS (SELECT company, place, id, id, [id] FROM ranked WHERE place = 1
+    UNION ALL SELECT r.company, r.place, r.id, coalesce(list_filter(s.winners, lambda x: list_contains(coalesce(n.others, []), x))[1], r.id),
+      CASE WHEN len(list_filter(s.winners, lambda x: list_contains(coalesce(n.others, []), x))) > 0 THEN s.winners ELSE list_append(s.winners, r.id) END
+    FROM step s JOIN ranked r ON r.company = s.company AND r.place = s.place + 1 LEFT JOIN near n ON n.id = r.id)
+SELECT id, winner FROM step""")
 def preferred_postings(spark: SparkSession, d: str) -> DataFrame:
-    """Every job with the job it is a copy of (itself if none): the first, by id, of similar jobs that is no copy."""
-    j = table(spark, d, "jobs").select("id", "company", text.tokens(F.col("role")).alias("t"))
-    # rows of equal company and words stand together: they are as similar to any other, so they have one winner
-    members, groups = similar.token_groups(j, "id", "company", "t")
+    """Every job with the job it is a copy of (itself if none): going from the most trusted, verified and newest job
+    down, the first of the same posting that is no copy itself, if its requirements are nearly equal or its source is
+    trusted differently."""
+    j = staged(_postings(spark, d), "postings")
+    first = F.struct((-F.col("rank")).alias("rank"), (~F.col("verified")).alias("verified"), (-F.unix_micros("first_seen_at")).alias("seen"), F.col("id").alias("id"))
+    # rows of equal company, words and trust stand together: they are linked to the same rows, so they have one winner
+    members, groups = similar.token_groups(j, "id", "company", "t", "r", tags=("rank",), order=first)
     groups = staged(groups, "title-groups")
-    won = similar.first_winners(groups.select(F.col("rep").alias("id")), similar.group_links(groups, 0.72), "id", rounds=1 << 30)  # until all are decided
-    x = members.join(groups, ["block", "t0"]).select("id", "rep").join(won.withColumnRenamed("id", "rep"), "rep")
+    links = similar.group_links(groups, 0.72, 0.45)
+    rank = groups.select("rep", "rank")
+    links = links.join(rank.withColumnsRenamed({"rep": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"rep": "b", "rank": "rb"}), "b").where("similarity1 >= 0.9 - 1e-12 OR ra <> rb")
+    won = similar.first_winners(groups.select(F.col("rep").alias("id"), "o"), links, "o")
+    x = members.join(groups, ["block", "t0", "t1", "rank"]).select("id", "rep").join(won.withColumnRenamed("id", "rep"), "rep")
     return j.select("id").join(x, "id", "left").select("id", F.coalesce("winner", "id").alias("winner"))
 
 
+@query(f"""{_TERMS}
+SELECT a, b, CASE WHEN similarity >= 0.9 THEN 'duplicate' ELSE 'review' END AS band FROM pairs WHERE a < b AND similarity >= 0.75""")
+def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one posting that are duplicates or should be reviewed, by their requirements' similarity."""
+    members, groups = similar.token_groups(_postings(spark, d), "id", "company", "t", "r")
+    groups = staged(groups, "posting-groups")
+    links = similar.group_links(groups, 0.72, 0.75).select("a", "b", text.similarity_band(F.col("similarity1")).alias("band"))
+    x = staged(members.join(groups, ["block", "t0", "t1"]).select("rep", "id"), "posting-members")
+    # a company stores an opening a few times, so the members of two groups are few
+    far = links.join(x.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(x.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib", "band")
+    own = x.select("rep", F.col("id").alias("ia")).join(x.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib", F.lit("duplicate").alias("band"))
+    return far.union(own).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "band")
+
+
 _PAGE = """SELECT source_id, url, lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,
     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[^/]*//[^/?#]*', '') AS rest FROM (SELECT DISTINCT source_id, url FROM job_sources)"""
 
@@ -410,4 +462,4 @@ def first_requirements(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("r", F.row_number().over(w)).where("r <= 3").select("job_key", "position", "requirement_id")
 
 
-from jobloom.plans import catalog, extraction, requirements, streams  # noqa: E402, F401
+from jobloom.plans import catalog, extraction, feedback, requirements, resolution, streams  # noqa: E402, F401

@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_stage_dir: dict[str, str] = {}
+_stage_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -55,16 +55,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, else (single machine, tests) an own folder."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_stage_dir:
-        folder = tempfile.mkdtemp(prefix="jobloom-stage-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own_stage_dir[app] = "file://" + folder
-    return _own_stage_dir[app]
+    """The application's folder for staged tables, in the shared folder spark.checkpoint.dir; it is deleted when the
+    application ends. Only a session on one machine may do without that setting and gets an own folder; elsewhere each
+    executor would write to its own disk, so that is an error."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app not in _stage_dir:
+        conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not conf:
+            folder = tempfile.mkdtemp(prefix="jobloom-stage-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            conf = "file://" + folder
+        root = f"{conf.rstrip('/')}/jobloom-{app}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _stage_dir[app] = root
+    return _stage_dir[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
