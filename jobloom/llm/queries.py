@@ -122,9 +122,12 @@ def _heads(spark: SparkSession, d: str) -> DataFrame:
     needed of them moves."""
     c = table(spark, d, "candidates")
     head = openings.with_opening(c.where("company IS NOT NULL").select("inbox_id", "company", _bare(), "title", "location"), "title", "location")
-    head = head.where("city <> '' AND role IS NOT NULL").select(_coded("inbox_id", HEADS), "company", "bare", F.concat_ws(" ", "role", "team").alias("text"), F.xxhash64("level", "city").alias("place"))
-    head = head.join(_company_firms(spark, d, c.select("company")), "company").where("firm IS NOT NULL")
-    return staged(head.select("id", "bare", "text", F.xxhash64("firm", "place").alias("scope")), "candidate-heads")
+    # no filter on what is read out of a title: it would be read twice
+    place = F.when((F.col("city") != "") & F.col("role").isNotNull(), F.xxhash64("level", "city"))
+    head = head.select(_coded("inbox_id", HEADS), "company", "bare", F.concat_ws(" ", "role", "team").alias("text"), place.alias("place"))
+    head = head.join(_company_firms(spark, d, c.select("company")), "company")
+    scope = F.when(F.col("place").isNotNull() & F.col("firm").isNotNull(), F.xxhash64("firm", "place"))
+    return staged(head.select("id", "bare", "text", scope.alias("scope")), "candidate-heads").where("scope IS NOT NULL")
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
