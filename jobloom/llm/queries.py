@@ -81,7 +81,7 @@ def _arrivals(spark: SparkSession, d: str, at_once: int) -> tuple[DataFrame, Dat
 
 def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
     """(inbox_id, prior_key): candidates that repeat an opening, going through the catalog and then `at_once` batches at
-    a time by a new index in the shared folder."""
+    a time by a new index in the shared folder. How many batches go at once doesn't change the rows."""
     x, forms = _arrivals(spark, d, at_once)
     index = segment_index.SegmentIndex(spark, f"{stage_root(spark)}/segment-index-{uuid.uuid4().hex}", least=SAME_OPENING)
     for r in x.select("load").distinct().orderBy("load").collect():  # one number a load
@@ -92,7 +92,7 @@ def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _first_postings(spark, d, 12)
+    return _first_postings(spark, d, 24)
 
 
 def p2_batchwise(spark: SparkSession, d: str) -> DataFrame:

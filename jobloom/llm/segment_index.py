@@ -131,7 +131,8 @@ def alike(a: Column, b: Column, most: int) -> Column:
     # the bound first: it settles most pairs, and cheaply
     least = F.least(F.length(a), F.length(b))
     d = F.levenshtein(a, b, most)
-    near = (F.abs(F.length(a) - F.length(b)) <= most) & (d >= 0) & (d <= F.when(least >= LONG, most).when(least >= 4, min(1, most)).otherwise(0))
+    # one comparison, so that the distance is computed once: beyond the bound it is -1, of which the low bits are 255
+    near = (F.abs(F.length(a) - F.length(b)) <= most) & (d.bitwiseAND(255) <= F.when(least >= LONG, most).when(least >= 4, min(1, most)).otherwise(0))
     same_digits = F.regexp_replace(a, r"[^0-9]+", " ") == F.regexp_replace(b, r"[^0-9]+", " ")
     x, y = F.split(a, " "), F.split(b, " ")
     close = F.zip_with(x, y, lambda p, q: (p == q) | ((F.least(F.length(p), F.length(q)) >= 4) & (F.levenshtein(p, q, 2) >= 0)))
