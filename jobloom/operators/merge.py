@@ -56,3 +56,25 @@ def lineage(rows: DataFrame, group: list[str], rank: Column, fields: list[str])
         F.count("*").alias("rows"),
         *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), rank)).alias(f) for f in fields],
     )
+
+
+def merged_sources(rows: DataFrame, key: str, url: str, order: str, fields: list[str], priority: str) -> DataFrame:
+    """(key, sources): array<struct<url, fields..>> of the rows of each key, one entry an address: each field from the
+    last row (by order) that has it; the highest priority first, then by address. Rows without an address are left out."""
+    x = rows.where(F.trim(F.col(url)) != "").groupBy(key, F.trim(F.col(url)).alias("_url"))
+    x = x.agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
+    entry = F.struct((-F.coalesce(F.col(priority), F.lit(0))).alias("_p"), F.col("_url").alias("url"), *fields)
+    x = x.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))  # addresses of one record
+    return x.select(key, F.transform("s", lambda e: F.struct(e["url"].alias("url"), *[e[f].alias(f) for f in fields])).alias("sources"))
+
+
+def kept_ids(rows: DataFrame, id_column: str, order: str, least: int = 0) -> DataFrame:
+    """rows with every missing id filled: the largest there is (at least `least`) plus the row's rank by order (unique,
+    not negative) among rows without one. Ranks are counted inside blocks of the order and over the blocks' totals."""
+    top = rows.agg(F.greatest(F.coalesce(F.max(id_column), F.lit(least)), F.lit(least)).alias("_top"))
+    x = rows.withColumn("_block", F.floor(F.col(order) / 4096))
+    n = x.where(F.col(id_column).isNull()).groupBy("_block").agg(F.count("*").alias("_n"))
+    before = n.select("_block", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a block
+    own = F.count_if(F.col(id_column).isNull()).over(W.partitionBy("_block").orderBy(order))
+    x = x.withColumn("_own", own).join(before, "_block", "left").crossJoin(F.broadcast(top))  # one row
+    return x.withColumn(id_column, F.coalesce(F.col(id_column), F.col("_top") + F.coalesce("_before", F.lit(0)) + F.col("_own"))).drop("_block", "_own", "_before", "_top")
