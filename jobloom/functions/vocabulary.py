@@ -164,3 +164,51 @@ HARD_SKILL = (
     r"machine learning|ia generativa|inteligencia artificial|linux|terraform|ci/cd|devops|"
     r"microsservic|microservice|observabilidade|security|seguranca|oracle|postgres|mysql|trino|starburst"
 )
+
+# Tags of an advert by what its text (lower case, accents kept) holds, in order.
+TAGS = {
+    "Python": r"\bpython\b|\bpyspark\b",
+    "SQL": r"\bsql\b|\bplsql\b|\bpl/sql\b|\bpostgresql\b|\bmysql\b|\bsql server\b|\boracle\b",
+    "Java": r"\bjava\b|spring boot|java ee|\bjunit\b",
+    ".NET/C#": r"\.net|\bc#\b|asp\.net",
+    "JavaScript/Node": r"javascript|node\.js|typescript|angular|react",
+    "REST/APIs": r"\bapi\b|\bapis\b|\brest\b|soap|openapi|swagger|webhook",
+    "Git": r"\bgit\b|github|gitlab",
+    "Testes": r"teste|testes|unitário|unitario|tdd|pytest|junit|xunit|phpunit",
+    "AWS": r"\baws\b|amazon web services|\bs3\b|lambda|\bsqs\b|\bsns\b|\brds\b|cloudwatch",
+    "Azure": r"\bazure\b",
+    "GCP": r"\bgcp\b|google cloud|bigquery|vertex ai",
+    "Docker": r"docker|podman",
+    "Kubernetes": r"kubernetes|\beks\b",
+    "CI/CD": r"ci/cd|continuous integration|continuous delivery|jenkins|github actions|azure devops",
+    "Microsserviços": r"microsservi|microservice",
+    "Mensageria": r"mensageria|rabbitmq|kafka|\bsqs\b|\bsns\b|\bjms\b|fila|eventos",
+    "Observabilidade": r"observabilidade|grafana|splunk|dynatrace|new relic|datadog|cloudwatch|kibana|tracing|métricas|metricas",
+    "Cloud": r"\bcloud\b|nuvem|\baws\b|\bazure\b|\bgcp\b|\boci\b",
+    "Linux": r"\blinux\b|shell script|\bbash\b",
+    "Terraform/IaC": r"terraform|infrastructure as code|iac|cloudformation",
+    "Dados/BI": r"dados|\bdata\b|power bi|tableau|databricks|spark|pyspark|data lake|redshift|bigquery|etl|elt",
+    "Automação": r"automação|automacao|\brpa\b|uipath|n8n|botcity|selenium|scripts?",
+    "IA/ML": r"inteligência artificial|inteligencia artificial|\bia\b|machine learning|llm|generative ai|ia generativa|scikit-learn|nlp",
+    "Segurança": r"segurança|seguranca|security|owasp|iam|lgpd|oauth|jwt",
+    "Crédito/Risco": r"crédito|credito|risco|fraude|pld|fidc|cobrança|cobranca",
+    "POO/Design": r"orientação a objetos|orientacao a objetos|design patterns|\bsolid\b|clean code|ddd",
+    "Troubleshooting/Produção": r"troubleshooting|incidente|produção|producao|deploy|rollback|sustentação|sustentacao|alta disponibilidade|missão crítica|missao critica",
+}
+# The area an advert belongs to by words in it, the first that fits.
+AREAS = [
+    ("Backend", ["backend", "back-end"]),
+    ("Segurança", ["segurança", "seguranca", "security", "cyber", "fraude", "fraud"]),
+    ("Dados & Analytics", ["dados", "data scientist", "cientista de dados", "analytics", "data engineer"]),
+    ("Cloud / SRE", ["sre", "cloud", "infraestrutura", "devops"]),
+    ("Automação & IA", ["automação", "automacao", "rpa"]),
+    ("QA", ["qualidade", " qa", "testador"]),
+    ("Governança & BI", ["governança", "governanca", "governance", "power bi", "power platform"]),
+    ("Produtos Financeiros", ["pagamento", "payments", "open finance", "crédito", "credito", "risco"]),
+    ("Sistemas / Sustentação", ["sistemas", "sustentação", "sustentacao"]),
+]
+OTHER_AREA = "Engenharia de Software"
+# Stacks by a tag and words of the title, then by the tag alone.
+STACKS = [("Python", "Python", ["python"]), ("Java", "Java", ["java", "spring"]), (".NET / C#", ".NET/C#", [".net", "c#"]), ("JavaScript / Node", "JavaScript/Node", ["node", "javascript", "typescript"])]
+TAG_STACKS = [("Python", "Python"), ("Java", "Java"), (".NET / C#", ".NET/C#"), ("Dados / BI", "Dados/BI"), ("Cloud / SRE", "Cloud")]
+OTHER_STACK = "Multistack"

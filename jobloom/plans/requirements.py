@@ -151,3 +151,38 @@ def requirement_violations(spark: SparkSession, d: str) -> DataFrame:
     """How many stored requirements break each rule of their contract."""
     r = table(spark, d, "job_requirements").distinct().withColumnsRenamed({"requirement": "text", "required_level": "level"})
     return req.violations(r).groupBy("violation").agg(F.count("*").alias("rows"))
+
+
+_NO_ACCENT_EDGE = "regexp_replace({}, '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{2AF}}\\x{{370}}-\\x{{58F}}\\x{{1D400}}-\\x{{1D7FF}}\\x{{FF10}}-\\x{{FF5A}}]', '_', 'g')"
+
+
+def _tags_sql() -> str:
+    # word boundaries are looked for where other letters stand for themselves, the rest in the text as it is
+    def hit(p: str) -> str:
+        parts = p.split("|")
+        edge, free = [x for x in parts if "\\b" in x], [x for x in parts if "\\b" not in x]
+        tests = ([f"regexp_matches(y, {_quoted('|'.join(edge))})"] if edge else []) + ([f"regexp_matches(x, {_quoted('|'.join(free))})"] if free else [])
+        return f"({' OR '.join(tests)})"
+
+    return "list_filter([" + ", ".join(f"CASE WHEN {hit(p)} THEN {_quoted(t)} END" for t, p in v.TAGS.items()) + "], lambda t: t IS NOT NULL)"
+
+
+def _cases(column: str, pairs: list[tuple[str, list[str]]]) -> str:
+    return " ".join(f"WHEN {' OR '.join(f'contains({column}, {_quoted(w)})' for w in words)} THEN {_quoted(name)}" for name, words in pairs)
+
+
+@query(f"""
+WITH j AS (SELECT id, role, lower(concat_ws(' ', role, json_extract_string(payload, '$.description'), array_to_string(json_extract_string(payload, '$.requirements[*]'), ' '))) AS x FROM jobs),
+  k AS (SELECT *, {_NO_ACCENT_EDGE.format("x")} AS y, lower(trim(regexp_replace(role, '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(concat_ws(' ', role, x), '\\s+', ' ', 'g'))) AS a FROM j),
+  l AS (SELECT *, {_tags_sql()} AS tags FROM k)
+SELECT id, array_to_string(tags, ',') AS tags, CASE {_cases("a", v.AREAS)} ELSE '{v.OTHER_AREA}' END AS area,
+  CASE {" ".join(f"WHEN list_contains(tags, {_quoted(tag)}) AND ({' OR '.join(f'contains(t, {_quoted(w)})' for w in words)}) THEN {_quoted(name)}" for name, tag, words in v.STACKS)}
+    {" ".join(f"WHEN list_contains(tags, {_quoted(tag)}) THEN {_quoted(name)}" for name, tag in v.TAG_STACKS)} ELSE '{v.OTHER_STACK}' END AS stack FROM l""")
+def job_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Tags, area and stack of every catalog job by its title, description and requirements."""
+    from jobloom.functions import classify
+
+    items = F.array_join(F.from_json(F.get_json_object("payload", "$.requirements"), "array<string>"), " ")
+    x = table(spark, d, "jobs").select("id", "role", F.concat_ws(" ", "role", F.get_json_object("payload", "$.description"), items).alias("x"))
+    x = x.withColumn("t", classify.tags(F.col("x")))
+    return x.select("id", F.array_join("t", ",").alias("tags"), classify.area(F.col("role"), F.col("x")).alias("area"), classify.stack(F.col("t"), F.col("role")).alias("stack"))
