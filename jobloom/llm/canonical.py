@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.functions.lookalikes import fold_tables
+from jobloom.llm.lookalikes import fold_tables
 from jobloom.session import staged
 
 # Other names of skills (name in the catalog: other names); the default of an input table.

@@ -3,7 +3,7 @@
 A spelling is read into its line of business (from a nickname table of full and shortened words, typos allowed) and its
 own words, sorted. Own words are blocked by phonetic codes, compared by Jaro-Winkler, and accepted pairs of spellings
 become the edges of a graph whose connected components are the firms. Spellings typed by people (many) are compared
-only with stored names (few), never with each other: a block costs the product of the two, not a square.
+with stored names (few) first; only those that none explains are compared with each other.
 
 Null, blank and placeholder names belong to no firm. A spelling without a line of business belongs to a firm only if
 all its stored look-alikes are compatible; equal spellings are one node.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import fold
+from jobloom.llm.lookalikes import fold
 from jobloom.operators.components import connected_components
 from jobloom.session import staged
 
@@ -208,7 +208,7 @@ def read_names(names: DataFrame, column: str) -> DataFrame:
 
 def firms(stored: DataFrame, typed: DataFrame, nicknames: DataFrame | None = None, least: float = 0.8) -> DataFrame:
     """(name, stored, own, biz, firm): the spellings of stored (name) and typed (name) that belong to a firm with a
-    stored name. nicknames (name_a, name_b) are stored names known to mean one firm."""
+    stored name, or to a firm that at least two typed spellings (of one line of business) name. nicknames (name_a, name_b) are stored names known to mean one firm."""
     s = read_names(stored, "name").withColumn("stored", F.lit(True))
     t = read_names(typed, "name").withColumn("stored", F.lit(False))
     names = staged(s.union(t).groupBy("name").agg(F.first("own").alias("own"), F.first("biz").alias("biz"), F.max("stored").alias("stored")), "names")
@@ -239,7 +239,17 @@ def firms(stored: DataFrame, typed: DataFrame, nicknames: DataFrame | None = Non
     near = pairs.where("b_stored IS NULL").join(parts.withColumnRenamed("form", "a"), "a").groupBy("b", "firm").agg(F.max("score").alias("score"))
     near = near.groupBy("b").agg(F.max_by("firm", "score").alias("firm"), F.max("score").alias("top"), F.collect_list("score").alias("all"))
     near = near.where("size(filter(all, x -> x > top - 0.01)) = 1").select(F.col("b").alias("form"), "firm")
-    known = parts.union(near)
+    known = staged(parts.union(near), "known-forms")
+    # spellings that no stored name explains are held against each other, so that a firm known from typed names alone is
+    # one firm too
+    rest = staged(keyed.join(known.select("form"), "form", "left_anti"), "unknown-forms")
+    a = rest.select("key", F.col("own").alias("own_a"), F.col("biz").alias("biz_a"), F.col("form").alias("a"))
+    b = rest.select("key", F.col("own").alias("own_b"), F.col("biz").alias("biz_b"), F.col("form").alias("b"))
+    cand = a.join(b, "key").where("a < b").select("own_a", "biz_a", "own_b", "biz_b").distinct()
+    same = cand.mapInArrow(lambda it: _pair_up(it, least), schema).where("biz_a = biz_b").select(F.xxhash64("own_a", "biz_a").alias("a"), F.xxhash64("own_b", "biz_b").alias("b"))
+    same = staged(same, "unknown-pairs")
+    if not same.isEmpty():
+        known = known.union(connected_components(same, "a", "b").select(F.col("node").alias("form"), F.col("component").alias("firm")))
     return names.withColumn("form", F.xxhash64("own", "biz")).join(known, "form").select("name", "stored", "own", "biz", "firm")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import fold
+from jobloom.llm.lookalikes import fold
 
 # Words of titles that are shortened, to one form, and the levels of a post.
 SHORT = {"analista": "anl", "analyst": "anl", "engenheiro": "eng", "engenheira": "eng", "engineer": "eng", "desenvolvedor": "dev", "desenvolvedora": "dev",

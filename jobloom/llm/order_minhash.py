@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.lookalikes import fold_tables
+from jobloom.llm.lookalikes import fold_tables
 from jobloom.llm.plain_form import code_points
 from jobloom.operators.components import connected_components
 from jobloom.session import staged

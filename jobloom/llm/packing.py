@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from jobloom.session import staged
 
-SALTS = 64
+PER_SALT = 50_000  # pieces of one size that are ranked in one task
 
 
 class SumIndex:
@@ -131,16 +131,19 @@ def pieces(sizes: DataFrame, id_column: str, size: str, capacity: int) -> DataFr
 def packed(sizes: DataFrame, id_column: str, size: str, capacity: int) -> DataFrame:
     """Every piece with its container_id (from 0) and place (from 0): id, piece, start, length, container_id, place.
     Ids must be unique; equal sizes are ranked by id, so the result is the same in every run."""
-    x = staged(pieces(sizes, id_column, size, capacity), "pieces").withColumn("_salt", F.pmod(F.xxhash64(id_column, "piece"), F.lit(SALTS)).cast("int"))
-    groups = staged(x.groupBy("length", "_salt").agg(F.count("*").alias("n")), "piece-counts")
+    x = staged(pieces(sizes, id_column, size, capacity), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row a size up to the capacity
+    for r in x.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most one row a size up to the capacity
         counts[r.length] = r.n
     where = places(plan(counts, capacity))
+    # a size of many pieces is ranked in as many tasks as it needs
+    many = {int(n): int(-(-counts[n] // PER_SALT)) for n in np.flatnonzero(counts > PER_SALT)}
+    salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in many.items() for v in kv]), F.col("length").cast("int")), F.lit(1)) if many else F.lit(1)
+    x = x.withColumn("_salt", F.pmod(F.xxhash64(id_column, "piece"), salts).cast("int"))
+    groups = staged(x.groupBy("length", "_salt").agg(F.count("*").alias("n")), "piece-counts")
     w = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     before = groups.select("length", "_salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before"))
-    # at most capacity * SALTS rows, so it may be broadcast
-    x = x.join(F.broadcast(before), ["length", "_salt"])
+    x = x.join(before, ["length", "_salt"])
     own = F.row_number().over(W.partitionBy("length", "_salt").orderBy(id_column, "piece")) - 1
     x = x.select(id_column, "piece", "start", "length", (F.col("_before") + own).alias("_rank"))
     kind = dict(x.dtypes)[id_column]

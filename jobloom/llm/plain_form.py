@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobloom.functions.lookalikes import INVISIBLE, LETTERS, compatible
+from jobloom.llm.lookalikes import INVISIBLE, LETTERS, compatible
 
 LAST = 0x110000
 WORD, LATIN, LIKE, OTHER, EMOJI, JOINING, MARK, CJK = (1 << i for i in range(8))

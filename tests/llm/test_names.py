@@ -18,11 +18,14 @@ def test_distances():
 def test_firms(spark):
     stored = spark.createDataFrame([("Banco Quelmira",), ("BQM",), ("Zilvutunio Capital",), ("Gestora Zilvutunio",), ("Dedallida Dados",), (None,)], "name string")
     typed = spark.createDataFrame(
-        [("banco quelmria",), ("BQM S.A",), ("Zilvutunio",), ("ZILVUTUNIO CAP.",), ("Dealliida Dados Ltda",), ("-",), ("N/A",), (None,), ("",), ("Banco Quelmira",)],
+        [("banco quelmria",), ("BQM S.A",), ("Zilvutunio",), ("ZILVUTUNIO CAP.",), ("Dealliida Dados Ltda",), ("-",), ("N/A",), (None,), ("",), ("Banco Quelmira",), ("Tessalux Seguros",), ("Tesalux Seg.",), ("Tessalux Cambio",), ("Morvantide Banco",)],
         "name string",
     )
     nick = spark.createDataFrame([("Banco Quelmira", "BQM")], "name_a string, name_b string")
     known = names.firms(stored, typed, nick)
+    firm = {r.name: r.firm for r in known.collect()}
+    # a firm known from typed names alone
+    assert firm["Tessalux Seguros"] == firm["Tesalux Seg."] and "Tessalux Cambio" not in firm and "Morvantide Banco" not in firm
     pairs = {tuple(r) for r in names.same_firm_pairs(known).collect()}
     assert pairs == {tuple(sorted(p)) for p in (
         ("Banco Quelmira", "BQM"), ("Banco Quelmira", "banco quelmria"), ("BQM", "banco quelmria"), ("BQM", "BQM S.A"), ("BQM S.A", "Banco Quelmira"),
