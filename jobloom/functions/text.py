@@ -8,8 +8,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobloom.functions.lookalikes import fold_tables
-
 
 @lru_cache(maxsize=1)
 def accent_tables() -> tuple[str, str]:
@@ -52,14 +50,6 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(norm_plain(c), r"[^a-z0-9]+", "")
 
 
-def fold(c: Column) -> Column:
-    """The comparison form: lower-case ASCII where a plain counterpart exists, look-alikes and wide forms mapped,
-    invisible characters gone, runs of blanks as one. Null stays null."""
-    x = F.translate(c, *fold_tables())
-    x = F.replace(F.replace(F.replace(x, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬃ"), F.lit("ffi")), F.lit("ﬂ"), F.lit("fl"))
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
-
-
 def tokens(c: Column) -> Column:
     """Distinct words of norm_words in order of first appearance; an empty text has none."""
     return F.array_distinct(F.filter(F.split(norm_words(c), " "), lambda t: t != ""))

@@ -12,10 +12,10 @@ from jobloom.plans.queries import QUERIES
 
 def test_text(spark):
     r = spark.createDataFrame([("Olá,  Ｍundo! C# é", "a-B_ç"), (None, None), ("", "")], "x string, y string").select(
-        text.norm_words(F.col("x")).alias("w"), text.compact(F.col("y")).alias("c"), text.fold(F.col("x")).alias("f"), text.tokens(F.col("x")).alias("t"), text.norm_tech(F.col("x")).alias("k")
+        text.norm_words(F.col("x")).alias("w"), text.compact(F.col("y")).alias("c"), text.tokens(F.col("x")).alias("t"), text.norm_tech(F.col("x")).alias("k")
     ).collect()
-    assert r[0].w == "ola undo c e" and r[0].c == "abc" and r[0].f == "ola, mundo! c# e" and r[0].t == ["ola", "undo", "c", "e"] and r[0].k == "ola undo c# e"
-    assert r[1].w is None and r[1].f is None and r[2].f == "" and r[2].t == []
+    assert r[0].w == "ola undo c e" and r[0].c == "abc" and r[0].t == ["ola", "undo", "c", "e"] and r[0].k == "ola undo c# e"
+    assert r[1].w is None and r[2].t == []
 
 
 def test_page_keys(spark):
