@@ -294,23 +294,19 @@ def _similar(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
-def buckets(sketches: DataFrame) -> DataFrame:
-    """(key, id, head, n): texts of buckets with more than one row, with the bucket's smallest id and its rows. Keys are
-    shuffled once, for the counts and for the join with them; most buckets hold one row and end here."""
+def stars(sketches: DataFrame) -> DataFrame:
+    """(a, b, keys): every text of a shared bucket with the bucket's smallest id, each pair once, with the buckets in
+    which they meet. Keys are shuffled once, for the smallest ids and for the join with them; most buckets hold one row
+    and end there."""
     x = sketches.select(F.explode("keys").alias("key"), "id").repartition("key")
-    low = x.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return x.join(low, "key").select("key", "id", "head", "n")
-
-
-def stars(shared: DataFrame) -> DataFrame:
-    """(a, b): every text of a shared bucket with the bucket's smallest id, each pair once."""
-    return shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    low = x.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    return x.join(low, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.collect_list("key").alias("keys"))  # at most m keys
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame:
     """Pairs (a, b) whose aligned similarity is high enough."""
     f = sketches.select("id", "form")
-    x = pairs.join(f.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
+    x = pairs.select("a", "b").join(f.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
     x = x.join(f.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a").select("a", "b", "form_a", "form_b")
     return x.mapInArrow(lambda it: _similar(it, rules), "a long, b long")
 
@@ -322,11 +318,10 @@ BLOCK = 4096  # rows of a bucket that are compared in one task
 
 
 def signatures(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, signatures) of forms: one bit for each symbol labelled by occurrence."""
+    """(sizes, signatures) of forms: one bit for each different symbol."""
     size = np.array([len(x) // 2 for x in raw], np.int64)
-    h, bounds = kmers(np.frombuffer(b"".join(raw), "<u2").astype(np.uint64), np.concatenate(([0], np.cumsum(size))), 1)
     bits = np.zeros((len(raw), BITS), bool)
-    bits[np.repeat(np.arange(len(raw)), np.diff(bounds)), (h % np.uint64(BITS)).astype(np.int64)] = True
+    bits[np.repeat(np.arange(len(raw)), size), np.frombuffer(b"".join(raw), "<u2") % BITS] = True
     return size, np.packbits(bits, axis=1).view(np.uint64)
 
 
@@ -387,15 +382,20 @@ def _compared(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Re
         yield from pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def remaining(sketches: DataFrame, shared: DataFrame, links: DataFrame, rules: Rules, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: alike texts of one bucket that links leave in different classes. Only buckets of more than one
-    class are looked at. A bucket of more than `block` rows is cut, and every two of its cuts meet in a task of their
-    own. Texts are compared where their bucket lies, so no pair is written that isn't a link."""
-    parts = classes(links).withColumnRenamed("class", "part")
-    x = shared.select("key", "id", "n").join(parts, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part"))
-    x = staged(x, "bucket-parts")
-    mixed = x.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    x = x.join(mixed, "key").withColumn("cuts", F.ceil(F.col("n") / block).cast("int")).join(sketches.select("id", "form"), "id")
+def remaining(sketches: DataFrame, met: DataFrame, links: DataFrame, rules: Rules, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: alike texts of one bucket that links leave in different classes; met are the stars. Only buckets
+    with a text that isn't in the class of their smallest id are looked at. A bucket of more than `block` rows is cut,
+    and every two of its cuts meet in a task of their own. Texts are compared where their bucket lies, so no pair is
+    written that isn't a link."""
+    parts = staged(classes(links), "star-classes")
+    of = lambda side: parts.select(F.col("id").alias(side), F.col("class").alias("part_" + side))
+    open_ = met.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").where("linked IS NULL").drop("linked")
+    open_ = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    mixed = staged(open_.select(F.explode("keys").alias("key")).distinct(), "mixed-buckets")
+    x = staged(met.select(F.explode("keys").alias("key"), "a", F.col("b").alias("id")).join(mixed, "key"), "mixed-rows")
+    low = x.groupBy("key").agg(F.min("a").alias("id"), (F.count("*") + 1).alias("n"))
+    x = x.select("key", "id").unionByName(low.select("key", "id")).join(low.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "key", "left")
+    x = x.select("key", "id", F.coalesce("cuts", F.lit(1)).alias("cuts")).join(sketches.select("id", "form"), "id").join(parts, "id", "left").withColumn("part", F.coalesce("class", "id"))
     x = x.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     group = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other")))
@@ -407,9 +407,9 @@ def remaining(sketches: DataFrame, shared: DataFrame, links: DataFrame, rules: R
 def linked(sketches: DataFrame, name: str, rules: Rules) -> DataFrame:
     """(a, b): verified links between the texts of sketches (id, keys, form). Any two that share a bucket and are alike
     are linked, directly or through others."""
-    shared = staged(buckets(sketches), name + "-buckets")
-    links = staged(verified(stars(shared), sketches, rules), name + "-stars")
-    return links.union(remaining(sketches, shared, links, rules))
+    met = staged(stars(sketches), name + "-stars")
+    links = staged(verified(met, sketches, rules), name + "-links")
+    return links.union(remaining(sketches, met, links, rules))
 
 
 def near_duplicates(rows: DataFrame, name: str, symbols_of: str = "words", k: int = 5, ell: int = 3, m: int = 32, least: float = 0.8, band: int = 32) -> DataFrame:

@@ -103,8 +103,8 @@ def test_all_of_a_bucket_are_compared(spark):
         f[i] = 60000 + i
     rows = [(i, [7, 8], f.astype("<u2").tobytes()) for i, f in enumerate(forms)] + [(9, [5], base[1].astype("<u2").tobytes())]
     s = spark.createDataFrame(rows, "id long, keys array<long>, form binary")
-    rules, shared = [(0.8, 32)], om.buckets(s)
-    first = om.verified(om.stars(shared), s, rules)
+    rules, shared = [(0.8, 32)], om.stars(s)
+    first = om.verified(shared, s, rules)
     assert first.count() == 0
     for block in (4096, 3, 2, 1):  # a bucket cut into blocks gives the same
         got = {tuple(r) for r in om.remaining(s, shared, first, rules, block).collect()}
@@ -113,7 +113,7 @@ def test_all_of_a_bucket_are_compared(spark):
     assert {tuple(r) for r in om.remaining(s, shared, linked, rules).collect()} == {(3, 4)}
     # ids of two kinds: odd ones must be more alike than these are
     twice = s.select((s.id * 2).alias("id"), "keys", "form").union(s.select((s.id * 2 + 1).alias("id"), F.transform("keys", lambda k: k + 100), "form"))
-    two = om.buckets(twice)
+    two = om.stars(twice)
     assert {tuple(r) for r in om.remaining(twice, two, first, [(0.8, 32), (0.999, 32)]).collect()} == {(2, 4), (2, 10), (4, 10), (6, 8)}
     # the same through near_duplicates: a word that all share is the only key
     for c in range(5000):
