@@ -242,7 +242,8 @@ def firms(stored: DataFrame, typed: DataFrame, nicknames: DataFrame | None = Non
     known = staged(parts.union(near), "known-forms")
     # spellings that no stored name explains are held against each other, so that a firm known from typed names alone is
     # one firm too
-    rest = staged(keyed.join(known.select("form"), "form", "left_anti"), "unknown-forms")
+    rest = forms.join(known.select("form"), "form", "left_anti").select("own", "biz", "stored", "form")
+    rest = staged(rest.mapInArrow(_keys, "own string, biz string, stored boolean, form long, key long"), "unknown-forms")
     a = rest.select("key", F.col("own").alias("own_a"), F.col("biz").alias("biz_a"), F.col("form").alias("a"))
     b = rest.select("key", F.col("own").alias("own_b"), F.col("biz").alias("biz_b"), F.col("form").alias("b"))
     cand = a.join(b, "key").where("a < b").select("own_a", "biz_a", "own_b", "biz_b").distinct()

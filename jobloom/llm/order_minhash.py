@@ -298,7 +298,8 @@ def stars(sketches: DataFrame) -> DataFrame:
     """(a, b, keys): every text of a shared bucket with the bucket's smallest id, each pair once, with the buckets in
     which they meet. Keys are shuffled once, for the smallest ids and for the join with them; most buckets hold one row
     and end there."""
-    x = sketches.select(F.explode("keys").alias("key"), "id").repartition("key")
+    # the filter is what the join would add to one side alone, and then the shuffle would be made twice
+    x = sketches.select(F.explode("keys").alias("key"), "id").where("key IS NOT NULL AND id IS NOT NULL").repartition("key")
     low = x.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     return x.join(low, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.collect_list("key").alias("keys"))  # at most m keys
 

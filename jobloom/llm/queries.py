@@ -35,6 +35,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("tname_1 IS NULL OR tname_2 IS NULL").select("name_1", "name_2")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a spelling that belongs to a firm: the firm's smallest spelling, whether it is stored and how many other
+    spellings the firm has."""
+    known, _ = _firms(spark, d)
+    x = staged(known.select("name", "stored", "firm").distinct(), "firm-names")
+    n = x.groupBy("firm").agg(F.min("name").alias("class_name"), (F.count("*") - 1).alias("links"))
+    return x.join(n, "firm").select("name", "stored", "class_name", "links")
+
+
 def _company_firms(spark: SparkSession, d: str, companies: DataFrame) -> DataFrame:
     """(company, firm) of companies (company); no name or a placeholder is no firm, a name that is no known firm's is
     its own firm."""
@@ -322,6 +331,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_batchwise": p2_batchwise,
     "p3_found": p3_found,
