@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=1)
 def accent_tables() -> tuple[str, str]:
-    """Latin letters with marks to their base letters (canonical decomposition only)."""
+    """Letters with marks to their base letters (canonical decomposition, marks of category Mn dropped)."""
     to = {}
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for cp in [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]:
         d = unicodedata.normalize("NFD", chr(cp))
-        if len(d) > 1:
-            to[chr(cp)] = d[0]
+        base = "".join(c for c in d if unicodedata.category(c) != "Mn")
+        if base != chr(cp) and len(base) == 1:
+            to[chr(cp)] = base
     return "".join(to), "".join(to.values())
 
 

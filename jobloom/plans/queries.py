@@ -462,4 +462,4 @@ def first_requirements(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("r", F.row_number().over(w)).where("r <= 3").select("job_key", "position", "requirement_id")
 
 
-from jobloom.plans import catalog, extraction, feedback, history, requirements, resolution, streams  # noqa: E402, F401
+from jobloom.plans import catalog, extraction, feedback, history, requirements, resolution, streams, views  # noqa: E402, F401

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.functions.markup import unescaped
+
 POSTING = "url string, title string, company string, description string, location string, posted_on string, valid_through string, remote boolean"
 
 GREENHOUSE = "jobs array<struct<absolute_url: string, title: string, content: string, location: struct<name: string>, first_published: string, updated_at: string, application_deadline: string>>"
@@ -16,23 +16,12 @@ LEVER = "array<struct<hostedUrl: string, text: string, description: string, desc
 ASHBY = "jobs array<struct<jobUrl: string, title: string, descriptionHtml: string, descriptionPlain: string, location: string, isRemote: boolean, publishedAt: string>>"
 
 
-def _unescaped(c: Column) -> Column:
-    """Text of feeds that escape their HTML, with every named and numbered entity resolved once."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(html.unescape, na_action="ignore")
-
-    # most texts have none and need no Python
-    return F.when(c.contains("&"), run(c)).otherwise(c)
-
-
 def greenhouse(feeds: DataFrame, company: str = "company", body: str = "body") -> DataFrame:
     """feeds (company, body: one JSON text each) as postings; entries without an address are dropped, unreadable
     bodies give none."""
     x = feeds.select(F.col(company).alias("company"), F.explode(F.from_json(body, GREENHOUSE)["jobs"]).alias("j"))
     return x.select(
-        F.col("j.absolute_url").alias("url"), "j.title", "company", _unescaped(F.col("j.content")).alias("description"), F.col("j.location.name").alias("location"),
+        F.col("j.absolute_url").alias("url"), "j.title", "company", unescaped(F.col("j.content")).alias("description"), F.col("j.location.name").alias("location"),
         F.coalesce("j.first_published", "j.updated_at").alias("posted_on"), F.col("j.application_deadline").alias("valid_through"), F.lit(None).cast("boolean").alias("remote"),
     ).where("url <> ''")
 
