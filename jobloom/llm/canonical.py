@@ -81,11 +81,12 @@ def mapped(spark: SparkSession, requirements: DataFrame, catalog: DataFrame, ali
       WHERE category = 'technical'""")
     # every different text once; a sentence counts only where both fields are empty. A run longer than the longest
     # reference and its edits can't be within them of any
-    spark.sql("""CREATE OR REPLACE TEMPORARY VIEW jl_texts AS
+    parts = spark.conf.get("spark.sql.shuffle.partitions")  # short texts make many runs, so few bytes are much work
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY VIEW jl_texts AS
       SELECT jl_id(text, kind) AS text_id, kind, (SELECT coalesce(max(len), 0) + 2 FROM jl_refs) AS longest,
-        filter(transform(jl_words(text), w -> regexp_replace(w, '[^\\\\p{L}\\\\p{N}#+]', '')), w -> w <> '') AS words FROM (
+        filter(transform(jl_words(text), w -> regexp_replace(w, '[^\\\\p{{L}}\\\\p{{N}}#+]', '')), w -> w <> '') AS words FROM (SELECT /*+ REPARTITION({parts}) */ text, kind FROM (
         SELECT skill AS text, 'field' AS kind FROM jl_todo UNION SELECT subskill, 'field' FROM jl_todo
-        UNION SELECT requirement, 'sentence' FROM jl_todo WHERE skill IS NULL AND subskill IS NULL) WHERE text IS NOT NULL""")
+        UNION SELECT requirement, 'sentence' FROM jl_todo WHERE skill IS NULL AND subskill IS NULL) WHERE text IS NOT NULL)""")
     spark.sql("""CREATE OR REPLACE TEMPORARY VIEW jl_starts AS
       SELECT text_id, kind, words, longest, place FROM jl_texts LATERAL VIEW explode(CASE WHEN size(words) > 0 THEN sequence(0, size(words) - 1) END) p AS place""")
     _keep(spark, "jl_grams", """
