@@ -70,7 +70,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, d: str, at_once: int) -> tuple[DataFrame, DataFrame]:
-    """(rows for the segment index: ord, key, text, block, scopes, described, with prior_key; descriptions: id, form),
+    """(rows for the segment index: ord, key, text, block, scopes, described, with prior_key; descriptions: id, text),
     both with load: 0 for the catalog, then one for each `at_once` batches."""
 
     def load(batch: str) -> Column:
@@ -84,17 +84,16 @@ def _arrivals(spark: SparkSession, d: str, at_once: int) -> tuple[DataFrame, Dat
     x = x.select("ord", key.alias("key"), F.col("key").alias("prior_key"), text.alias("text"), F.when(whole, F.xxhash64("firm", "level", "city")).alias("block"), scopes.alias("scopes"), "described", load("batch"))
     j = table(spark, d, "jobs").select((F.col("id") - JOBS_BEFORE).alias("id"), F.get_json_object("payload", "$.description").alias("text"))
     c = table(spark, d, "candidates").select(F.col("inbox_id").alias("id"), F.col("description").alias("text"), load("batch_no"))
-    forms = order_minhash.forms(j.withColumn("load", F.lit(0)).union(c), keep="load")
-    return staged(x, "arrivals"), staged(forms, "descriptions")
+    return staged(x, "arrivals"), j.withColumn("load", F.lit(0)).union(c).where("text IS NOT NULL")
 
 
 def _first_postings(spark: SparkSession, d: str, at_once: int) -> DataFrame:
     """(inbox_id, prior_key): candidates that repeat an opening, going through the catalog and then `at_once` batches at
     a time by a new index in the shared folder. How many batches go at once doesn't change the rows."""
-    x, forms = _arrivals(spark, d, at_once)
+    x, texts = _arrivals(spark, d, at_once)
     index = segment_index.SegmentIndex(spark, f"{stage_root(spark)}/segment-index-{uuid.uuid4().hex}", least=SAME_OPENING)
     for r in x.select("load").distinct().orderBy("load").collect():  # one number a load
-        index.add(x.where(F.col("load") == r.load), forms.where(F.col("load") == r.load))
+        index.add(x.where(F.col("load") == r.load), texts.where(F.col("load") == r.load))
     found = index.result().where("label < ord AND ord > 0")
     prior = x.select(F.col("ord").alias("label"), "prior_key")
     return found.join(prior, "label").select(F.col("ord").alias("inbox_id"), "prior_key")

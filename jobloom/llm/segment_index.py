@@ -157,7 +157,7 @@ TABLES = {
     "segments": ("key", "key BIGINT, entry BIGINT"),
     "probes": ("key", "key BIGINT, entry BIGINT"),
     "entries": ("entry", "entry BIGINT, text STRING, body BIGINT, open BOOLEAN, label BIGINT"),
-    "forms": ("id", "id BIGINT, form BINARY"),
+    "texts": ("id", "id BIGINT, text STRING"),
     "keys": ("key", "key STRING, label BIGINT"),
     "rows": ("ord", "ord BIGINT, key STRING, label BIGINT"),
     "merges": ("a", "a BIGINT, b BIGINT"),
@@ -168,10 +168,10 @@ TABLES = {
 class SegmentIndex:
     """An index kept as tables under a shared path; another session may open it again and go on.
 
-    add(rows, forms) links a batch with itself and all history and appends it. Rows are
+    add(rows, texts) links a batch with itself and all history and appends it. Rows are
       ord (unique, rises with arrival), key (of the posting, or null), text, block (null: not known well enough),
-      scopes (what is known, as further blocks), described (whether forms has a description of it),
-    and forms (id, form) holds the descriptions by ord (order_minhash.forms).
+      scopes (what is known, as further blocks), described (whether texts has a description of it),
+    and texts (id, text) holds the descriptions by ord; only those that decide about an open row are ever read closely.
     Rows alike in their block are one opening, so are rows of one key. A row without block is open: it is held against
     all rows of its scopes, and those of alike text are the same opening if their descriptions are. An opening's label
     is its first arrival. When a batch shows two openings to be one, that is noted (merges) and holds from then on, so
@@ -223,20 +223,20 @@ class SegmentIndex:
         e = e.select("entry", "block", "text", "scopes", F.lit(False).alias("open"), "body")
         return e.union(lone.select(F.col("ord").alias("entry"), F.lit(None).cast("long"), "text", "scopes", F.lit(True), form)), members
 
-    def _described(self, pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    def _described(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Of pairs (a, b, body_a, body_b), those whose descriptions are alike."""
         x = pairs.where("body_a IS NOT NULL AND body_b IS NOT NULL AND body_a <> body_b")
-        ids = x.select(F.explode(F.array("body_a", "body_b")).alias("id")).distinct()
-        near = forms.join(ids, "id", "left_semi").union(self._stored("forms").join(ids, "id", "left_semi"))
+        ids = staged(x.select(F.explode(F.array("body_a", "body_b")).alias("id")).distinct(), "open-ids")
+        near = texts.join(ids, "id", "left_semi").union(self._stored("texts").join(ids, "id", "left_semi"))
         own = x.select(F.col("body_a").alias("a"), F.col("body_b").alias("b")).distinct()
-        alike_ = order_minhash.verified(own, staged(near, "open-forms"), self.rules).withColumnsRenamed({"a": "body_a", "b": "body_b"})
+        alike_ = order_minhash.verified(own, staged(order_minhash.forms(near), "open-forms"), self.rules).withColumnsRenamed({"a": "body_a", "b": "body_b"})
         return x.join(alike_, ["body_a", "body_b"]).select("a", "b", "label_a", "label_b")
 
-    def add(self, rows: DataFrame, forms: DataFrame) -> DataFrame:
-        """(ord, label) of the batch's rows, after appending it. rows and forms are read more than once, so what is
+    def add(self, rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """(ord, label) of the batch's rows, after appending it. rows and texts are read more than once, so what is
         costly to compute should be written before."""
         load = uuid.uuid4().hex
-        forms = forms.select("id", "form")
+        texts = texts.select("id", "text")
         e, members = self._entries(rows)
         e, members = staged(e, "batch-entries"), staged(members, "batch-members")
         blocks = e.where("block IS NOT NULL").select("block", "text", "entry")
@@ -256,7 +256,7 @@ class SegmentIndex:
         found = pairs.where("NOT stored").join(side(own, "b"), "b").unionByName(pairs.where("stored").join(side(self._stored("entries"), "b"), "b"))
         found = staged(found.where(alike(F.col("text_a"), F.col("text_b"), self.most)).drop("text_a", "text_b"), "batch-alike")
         vague = F.col("open_a") | F.col("open_b")
-        links = found.where(~vague).select("label_a", "label_b").union(self._described(found.where(vague), forms).select("label_a", "label_b"))
+        links = found.where(~vague).select("label_a", "label_b").union(self._described(found.where(vague), texts).select("label_a", "label_b"))
         # the same key is the same posting
         keyed = members.where("key IS NOT NULL").select("key", "entry")
         least = keyed.groupBy("key").agg(F.min("entry").alias("least"))
@@ -270,7 +270,7 @@ class SegmentIndex:
         self._append("segments", seg, load)
         self._append("probes", open_probes, load)
         self._append("entries", e.join(labels, "entry"), load)
-        self._append("forms", forms, load)
+        self._append("texts", texts, load)
         self._append("keys", least.join(labels, least["least"] == labels["entry"]), load)
         out = staged(members.join(labels, "entry").select("ord", "key", "label"), "batch-rows")
         self._append("rows", out, load)

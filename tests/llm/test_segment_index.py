@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm.order_minhash import forms
 from jobloom.llm.segment_index import SegmentIndex, as_entries, link_entries
 
 
@@ -94,7 +93,7 @@ def brute(rows):
 
 def given(spark, rows):
     x = spark.createDataFrame(rows, INPUT)
-    return x.withColumn("described", F.coalesce("body", F.lit("")) != "").drop("body"), forms(x.select(F.col("ord").alias("id"), F.col("body").alias("text")))
+    return x.withColumn("described", F.coalesce("body", F.lit("")) != "").drop("body"), x.select(F.col("ord").alias("id"), F.col("body").alias("text")).where("text IS NOT NULL")
 
 
 @pytest.mark.parametrize("cuts", [(0, 200), (0, 30, 31, 60, 200)])
