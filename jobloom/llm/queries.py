@@ -305,7 +305,7 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     sized = _sized(spark, d)
     x = staged(_packed(spark, d, sized), "packed").join(F.broadcast(table(spark, d, "pack_sizes")), "size_name")  # a fixed list of three
     c = x.groupBy("size_name", "container_id").agg(F.sum("length").alias("n"), F.first("capacity_tokens").alias("room"), F.count("*").alias("k"), F.max("place").alias("last"), F.countDistinct("place").alias("places"))
-    c = c.groupBy("size_name").agg(F.count_if("n > room").alias("overfull"), F.count_if("places <> k OR last <> k - 1").alias("holes"))
+    c = c.groupBy("size_name").agg(F.count_if(F.expr("n > room")).alias("overfull"), F.count_if(F.expr("places <> k OR last <> k - 1")).alias("holes"))
     p = x.groupBy("size_name", "doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.first("capacity_tokens").alias("room"), F.sum(F.col("start") + F.col("length")).alias("ends"), F.sum("start").alias("starts"))
     p = p.join(sized.select("doc_id", "n_tokens"), "doc_id")
     wrong = (F.col("n") != F.col("n_tokens")) | (F.col("ends") - F.col("starts") != F.col("n_tokens")) | (F.col("k") != F.ceil(F.col("n_tokens") / F.col("room")))
