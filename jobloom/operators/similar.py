@@ -21,29 +21,44 @@ def token_groups(rows: DataFrame, id_column: str, block: str, *tokens: str, tags
     return x.drop("o"), groups
 
 
+def with_group(members: DataFrame, groups: DataFrame, *tags: str) -> DataFrame:
+    """(id, rep): members with the group that they are in. Sets of words take little in files and much in memory, so the
+    size of a file must not decide on a broadcast."""
+    keys = ["block", *(c for c in groups.columns if c[0] == "t" and c[1:].isdigit()), *tags]
+    return members.join(groups.select(*keys, "rep").hint("merge"), keys).select("id", "rep")
+
+
 def group_links(groups: DataFrame, *least: float) -> DataFrame:
     """(a, b, similarity, similarity1, ..), a < b: reps of one block whose every set ti is at least least[i] (> 0)
     similar, with the similarities of the sets.
 
     Prefix filter: tokens are ordered from rare to frequent; sets that are similar enough share one of their first
-    n - ceil(least * n) + 1 tokens, so only groups that share one of each set are joined.
+    n - ceil(least * n) + 1 tokens, so only groups that share one of each set are joined. What is joined are hashes of
+    tokens and a signature of 64 bits a set: a token whose bit the other set lacks is not in it, which bounds what both
+    share. Hashes that meet by chance add a pair to look at; the sets of all that remain are compared.
     """
-    heads = groups.select("block", "rep")
+    hashed = [f"transform(t{i}, w -> struct({i} AS i, xxhash64(block, {i}, w) AS h))" for i in range(len(least))]
+    words = groups.select("rep", F.explode(F.expr(f"concat({', '.join(hashed)})")).alias("x")).select("rep", "x.i", "x.h")
+    freq = words.groupBy("h").agg(F.count("*").alias("n"))
+    ordered = words.join(freq.hint("merge"), "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("i", "n", "h"))).alias("o"))  # the tokens of one group
+    own = ordered.select("rep", *(F.expr(f"transform(filter(o, x -> x.i = {i}), x -> x.h)").alias(f"o{i}") for i in range(len(least))))
+    sizes = [F.expr(f"size(o{i})").alias(f"size{i}") for i in range(len(least))]
+    signs = [F.expr(f"aggregate(o{i}, 0L, (s, h) -> s | shiftleft(1L, cast(h & 63 AS int)))").alias(f"sign{i}") for i in range(len(least))]
+    heads = own.select("rep", *sizes, *signs, *(F.expr(f"slice(o{i}, 1, size(o{i}) - cast(ceil({part} * size(o{i}) - 1e-9) AS int) + 1)").alias(f"p{i}") for i, part in enumerate(least)))
+    for i in range(len(least)):
+        heads = heads.withColumn(f"p{i}", F.explode(f"p{i}"))
+    sides = [c for i in range(len(least)) for c in (f"size{i}", f"sign{i}")]
+    heads = heads.select(F.xxhash64(*(f"p{i}" for i in range(len(least)))).alias("key"), "rep", *sides)
     near = "a < b"
     for i, part in enumerate(least):
-        t = f"t{i}"
-        freq = groups.select("block", F.explode(t).alias("w")).groupBy("block", "w").agg(F.count("*").alias("n"))
-        ordered = groups.select("block", "rep", F.size(t).alias("size"), F.explode(t).alias("w")).join(freq, ["block", "w"])
-        ordered = ordered.groupBy("block", "rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))  # one set of tokens
-        prefix = F.expr(f"slice(o, 1, size - cast(ceil({part} * size - 1e-9) as int) + 1)")
-        own = ordered.select("block", "rep", F.col("size").alias(f"size{i}"), F.explode(F.transform(prefix, lambda s: s["w"])).alias(f"w{i}"))
-        heads = heads.join(own, ["block", "rep"])
-        near += f" AND size{i} >= {part} * size{i}_b - 1e-9 AND size{i}_b >= {part} * size{i} - 1e-9"
-    keys = ["block", *(f"w{i}" for i in range(len(least)))]
-    b = heads.withColumnsRenamed({"rep": "b"} | {f"size{i}": f"size{i}_b" for i in range(len(least))})
-    y = heads.withColumnRenamed("rep", "a").join(b, keys).where(near).select("a", "b").distinct()
+        both = f"least(size{i} - bit_count(sign{i} & ~sign{i}_b), size{i}_b - bit_count(sign{i}_b & ~sign{i}))"
+        near += f" AND {both} >= {part} * (size{i} + size{i}_b - {both}) - 1e-9"
+    b = heads.withColumnsRenamed({"rep": "b"} | {c: c + "_b" for c in sides})
+    y = heads.withColumnRenamed("rep", "a").join(b.hint("merge"), "key").where(near).select("a", "b").distinct()
     for side in "ab":
-        y = y.join(groups.select(F.col("rep").alias(side), *(F.col(f"t{i}").alias(f"{side}{i}") for i in range(len(least)))), side)
+        x = groups.select(F.col("rep").alias(side), F.col("block").alias("block_" + side), *(F.col(f"t{i}").alias(f"{side}{i}") for i in range(len(least))))
+        y = y.join(x.hint("merge"), side)
+    y = y.where("block_a = block_b")
     alike = [jaccard(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(least))]
     for s, part in zip(alike, least, strict=True):
         y = y.where(s >= part - 1e-12)
@@ -57,7 +72,7 @@ def jaccard_links(rows: DataFrame, id_column: str, block: str, tokens: str, leas
     further criterion needs its sets in the groups (`token_groups`). Null blocks and empty sets have no links.
     """
     x, groups = token_groups(rows, id_column, block, tokens)
-    copies = x.join(groups, ["block", "t0"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    copies = with_group(x, groups).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return group_links(groups, least).select("a", "b", "similarity").union(copies)
 
 
@@ -72,16 +87,17 @@ def first_winners(rows: DataFrame, links: DataFrame, order: str) -> DataFrame:
     open. Only links of open rows are carried on.
     """
     ord_ = rows.select(F.col("id"), F.col(order).alias("o"))
-    e = links.select("a", "b").join(ord_.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(ord_.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
+    # orders may be structs, which take more memory than a file tells
+    e = links.select("a", "b").join(ord_.select(F.col("id").alias("a"), F.col("o").alias("oa")).hint("merge"), "a").join(ord_.select(F.col("id").alias("b"), F.col("o").alias("ob")).hint("merge"), "b")
     first = F.col("oa") < F.col("ob")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     e = staged(e.where("oa <> ob").select(pick("b", "a").alias("id"), pick("a", "b").alias("by"), pick("oa", "ob").alias("by_o")).distinct(), "links")
-    parts = [staged(ord_.join(e.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("winner")), "decided")]
+    parts = [staged(ord_.join(e.select("id").distinct().hint("merge"), "id", "left_anti").select("id", F.col("id").alias("winner")), "decided")]
     e = e.withColumn("won", F.lit(None).cast("boolean"))
     while True:
         done = parts[-1].select(F.col("id").alias("by"), (F.col("winner") == F.col("id")).alias("now"))
-        e = e.join(done, "by", "left").select("id", "by", "by_o", F.coalesce("won", "now").alias("won"))
-        e = staged(e.join(parts[-1].select("id"), "id", "left_anti"), "open-links")
+        e = e.join(done.hint("merge"), "by", "left").select("id", "by", "by_o", F.coalesce("won", "now").alias("won"))
+        e = staged(e.join(parts[-1].select("id").hint("merge"), "id", "left_anti"), "open-links")
         if e.isEmpty():
             break
         s = e.groupBy("id").agg(F.min(F.when(F.col("won"), F.struct("by_o", "by"))).alias("w"), F.min(F.when(F.col("won").isNull(), F.col("by_o"))).alias("open"))

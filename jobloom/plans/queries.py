@@ -89,14 +89,19 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs with the terms of title (t) and requirements (r), the trust in their source (rank, more is better), whether
-    anybody verified them and when they were first seen."""
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with the terms of title (t) and requirements (r)."""
     items = F.from_json(F.get_json_object("payload", "$.requirements"), "array<string>")
-    j = table(spark, d, "jobs").select("id", F.col("key").alias("job_key"), F.nullif(text.compact(F.col("company")), F.lit("")).alias("company"), text.title_tokens(F.col("role")).alias("t"), text.requirement_tokens(items).alias("r"), "first_seen_at", urls.host(F.col("key")).alias("host"))
+    return table(spark, d, "jobs").select("id", F.col("key").alias("job_key"), F.nullif(text.compact(F.col("company")), F.lit("")).alias("company"), text.title_tokens(F.col("role")).alias("t"), text.requirement_tokens(items).alias("r"), "first_seen_at", urls.host(F.col("key")).alias("host"))
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with their terms, the trust in their source (rank, more is better), whether anybody verified them and when
+    they were first seen."""
     p = table(spark, d, "source_registry").groupBy(urls.host(F.col("base_url")).alias("host")).agg((6 - F.min("priority")).alias("rank"))  # a fixed list
     v = table(spark, d, "job_sources").where("last_verified_at IS NOT NULL").select("job_key").distinct().withColumn("verified", F.lit(True))
-    x = j.join(F.broadcast(p), "host", "left").join(v, "job_key", "left")
+    # jobs' keys grow with the data: never a broadcast, whatever their file's size
+    x = _terms(spark, d).join(F.broadcast(p), "host", "left").join(v.hint("merge"), "job_key", "left")
     return x.select("id", "company", "t", "r", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("verified", F.lit(False)).alias("verified"), "first_seen_at")
 
 
@@ -118,7 +123,7 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of one company with similar titles and requirements: each job with its class and its number of links."""
     from jobloom.operators.components import connected_components
 
-    members, groups = similar.token_groups(_postings(spark, d), "id", "company", "t", "r")
+    members, groups = similar.token_groups(_terms(spark, d), "id", "company", "t", "r")
     groups = staged(groups, "posting-groups")
     links = staged(similar.group_links(groups, 0.72, 0.45).select("a", "b"), "posting-links")
     # copies are linked to each other and to all that their group is linked to
@@ -127,7 +132,7 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
     degree = size.join(ends, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     copies = groups.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     parts = connected_components(links.union(copies), "a", "b").withColumnsRenamed({"node": "rep", "component": "class"})
-    x = members.join(groups, ["block", "t0", "t1"]).select("id", "rep")
+    x = similar.with_group(members, groups)
     return x.join(degree, "rep").join(parts, "rep").select("id", "links", "class")
 
 
@@ -153,9 +158,9 @@ def preferred_postings(spark: SparkSession, d: str) -> DataFrame:
     groups = staged(groups, "title-groups")
     links = similar.group_links(groups, 0.72, 0.45)
     rank = groups.select("rep", "rank")
-    links = links.join(rank.withColumnsRenamed({"rep": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"rep": "b", "rank": "rb"}), "b").where("similarity1 >= 0.9 - 1e-12 OR ra <> rb")
+    links = links.join(rank.withColumnsRenamed({"rep": "a", "rank": "ra"}).hint("merge"), "a").join(rank.withColumnsRenamed({"rep": "b", "rank": "rb"}).hint("merge"), "b").where("similarity1 >= 0.9 - 1e-12 OR ra <> rb")
     won = similar.first_winners(groups.select(F.col("rep").alias("id"), "o"), links, "o")
-    x = members.join(groups, ["block", "t0", "t1", "rank"]).select("id", "rep").join(won.withColumnRenamed("id", "rep"), "rep")
+    x = similar.with_group(members, groups, "rank").join(won.withColumnRenamed("id", "rep"), "rep")
     return j.select("id").join(x, "id", "left").select("id", F.coalesce("winner", "id").alias("winner"))
 
 
@@ -163,10 +168,10 @@ def preferred_postings(spark: SparkSession, d: str) -> DataFrame:
 SELECT a, b, CASE WHEN similarity >= 0.9 THEN 'duplicate' ELSE 'review' END AS band FROM pairs WHERE a < b AND similarity >= 0.75""")
 def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one posting that are duplicates or should be reviewed, by their requirements' similarity."""
-    members, groups = similar.token_groups(_postings(spark, d), "id", "company", "t", "r")
+    members, groups = similar.token_groups(_terms(spark, d), "id", "company", "t", "r")
     groups = staged(groups, "posting-groups")
     links = similar.group_links(groups, 0.72, 0.75).select("a", "b", text.similarity_band(F.col("similarity1")).alias("band"))
-    x = staged(members.join(groups, ["block", "t0", "t1"]).select("rep", "id"), "posting-members")
+    x = staged(similar.with_group(members, groups), "posting-members")
     # a company stores an opening a few times, so the members of two groups are few
     far = links.join(x.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(x.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib", "band")
     own = x.select("rep", F.col("id").alias("ia")).join(x.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib", F.lit("duplicate").alias("band"))

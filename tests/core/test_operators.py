@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import requirements, sections, text, times, urls
 from jobloom.operators import merge, schedule, similar
-from jobloom.plans.queries import QUERIES
+from jobloom.plans.queries import QUERIES, _postings
+from jobloom.session import staged
 
 
 def test_text(spark):
@@ -212,6 +213,31 @@ def test_copies_of_a_copy(spark):
     assert got == {1: 1, 2: 1, 3: 1}
 
 
+def test_links_of_two_sets(spark):
+    """Pairs must be alike in both sets; a firm with many rows is compared in full."""
+    rnd = random.Random(5)
+    draw = lambda signs, most: sorted({rnd.choice(signs) for _ in range(rnd.randrange(1, most))})
+    rows = [(i, "x" if i % 5 else "y", draw("abcde", 5), draw("klmnopqrst", 9)) for i in range(150)]
+    _, groups = similar.token_groups(spark.createDataFrame(rows, "id long, block string, t array<string>, r array<string>"), "id", "block", "t", "r")
+    reps = {r.rep for r in groups.select("rep").collect()}
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and {a[0], b[0]} <= reps and a[1] == b[1] and share(a[2], b[2]) >= 0.72 and share(a[3], b[3]) >= 0.45}
+    got = [(r.a, r.b) for r in similar.group_links(groups, 0.72, 0.45).select("a", "b").collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_broadcast_of_sets(spark):
+    """Sets of words are small in files and large in memory: no join of them goes through the driver."""
+    rows = spark.createDataFrame([(i, "x", ["a", "b", str(i % 7)]) for i in range(50)], "id long, block string, t array<string>")
+    members, groups = similar.token_groups(rows, "id", "block", "t")
+    groups = staged(groups, "groups")
+    links = similar.group_links(groups, 0.5)
+    for x in (links, similar.with_group(members, groups)):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+    x = _postings(spark, "/root/testdata/sf0.001")
+    assert x._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1  # the fixed list of sources
+
+
 def test_long_chain_of_winners(spark):
     """A path settles row by row; no row is left out however long it is."""
     n = 30
