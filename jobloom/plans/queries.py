@@ -173,8 +173,8 @@ def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
     links = similar.group_links(groups, 0.72, 0.75).select("a", "b", text.similarity_band(F.col("similarity1")).alias("band"))
     x = staged(similar.with_group(members, groups), "posting-members")
     # a company stores an opening a few times, so the members of two groups are few
-    far = links.join(x.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(x.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib", "band")
-    own = x.select("rep", F.col("id").alias("ia")).join(x.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib", F.lit("duplicate").alias("band"))
+    far = links.join(x.select(F.col("rep").alias("a"), F.col("id").alias("ia")).hint("merge"), "a").join(x.select(F.col("rep").alias("b"), F.col("id").alias("ib")).hint("merge"), "b").select("ia", "ib", "band")
+    own = x.select("rep", F.col("id").alias("ia")).join(x.select("rep", F.col("id").alias("ib")).hint("merge"), "rep").where("ia < ib").select("ia", "ib", F.lit("duplicate").alias("band"))
     return far.union(own).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "band")
 
 

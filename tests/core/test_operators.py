@@ -238,6 +238,12 @@ def test_no_broadcast_of_sets(spark):
     assert x._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1  # the fixed list of sources
 
 
+def test_bands_without_broadcast(spark):
+    """Jobs grow, so none of the joins of members goes through the driver."""
+    x = QUERIES["similarity_bands"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chain_of_winners(spark):
     """A path settles row by row; no row is left out however long it is."""
     n = 30
