@@ -128,12 +128,12 @@ def same_posting_links(spark: SparkSession, d: str) -> DataFrame:
     links = staged(similar.group_links(groups, 0.72, 0.45).select("a", "b"), "posting-links")
     # copies are linked to each other and to all that their group is linked to
     size = groups.select("rep", "n")
-    ends = links.union(links.select("b", "a")).join(size.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
-    degree = size.join(ends, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    ends = links.union(links.select("b", "a")).join(size.select(F.col("rep").alias("b"), "n").hint("merge"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
+    degree = size.join(ends.hint("merge"), "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     copies = groups.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     parts = connected_components(links.union(copies), "a", "b").withColumnsRenamed({"node": "rep", "component": "class"})
     x = similar.with_group(members, groups)
-    return x.join(degree, "rep").join(parts, "rep").select("id", "links", "class")
+    return x.join(degree.hint("merge"), "rep").join(parts.hint("merge"), "rep").select("id", "links", "class")
 
 
 @query(f"""{_TERMS},

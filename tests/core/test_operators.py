@@ -238,10 +238,11 @@ def test_no_broadcast_of_sets(spark):
     assert x._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1  # the fixed list of sources
 
 
-def test_bands_without_broadcast(spark):
-    """Jobs grow, so none of the joins of members goes through the driver."""
-    x = QUERIES["similarity_bands"](spark, "/root/testdata/sf0.001")
-    assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+def test_members_without_broadcast(spark):
+    """Jobs grow, so none of the joins of members goes through the driver or whole to every executor."""
+    for name in ("similarity_bands", "same_posting_links"):
+        x = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString(), name
 
 
 def test_long_chain_of_winners(spark):
