@@ -141,3 +141,12 @@ def test_buckets_are_brute_force():
     for size in (1, 7, 90):
         got = [p for r in om._compared(iter([b.slice(x, size) for x in range(0, 90, size)]), [(0.7, 40)]) for p in zip(*map(pa.Array.to_pylist, r.columns), strict=True)]
         assert len(got) == len(set(got)) and want and want == set(got)
+
+
+def test_buckets_of_two_are_settled(spark):
+    """The only pair of a bucket of two rows is its star; a bucket of three is looked at again, so its rest is linked."""
+    rows = [(1, [10, 20], b"\1\0\2\0"), (2, [10], b"\7\0\x08\0"), (3, [20], b"\3\0\4\0"), (4, [20], b"\3\0\4\0")]
+    sketches = spark.createDataFrame(rows, "id long, keys array<long>, form binary")
+    met = om.stars(sketches)
+    assert {(r.a, r.b): r["keys"] for r in met.collect()} == {(1, 2): [], (1, 3): [20], (1, 4): [20]}
+    assert {(r.a, r.b) for r in om.linked(sketches, "two", [(0.8, 8)]).collect()} == {(3, 4)}
