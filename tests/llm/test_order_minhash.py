@@ -150,3 +150,19 @@ def test_buckets_of_two_are_settled(spark):
     met = om.stars(sketches)
     assert {(r.a, r.b): r["keys"] for r in met.collect()} == {(1, 2): [], (1, 3): [20], (1, 4): [20]}
     assert {(r.a, r.b) for r in om.linked(sketches, "two", [(0.8, 8)]).collect()} == {(3, 4)}
+
+
+def test_profiles_rule_out_no_alike_pair(spark):
+    """Equal hashes are equal words; bits deny only pairs that aren't alike."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(60)}" for _ in range(40)]
+    texts = ["", "--", "Olá mundo", "ola  MUNDO"] + [" ".join(rnd.choice(base) if rnd.random() < 0.4 else w for w in base[: rnd.randrange(1, 41)]) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    p = om.profiles(rows)
+    own = {r.id: r for r in p.collect()}
+    assert set(own) == set(range(2, 64)) and (own[2].h1, own[2].h2) == (own[3].h1, own[3].h2) and len({r.h1 for r in own.values()}) == len({tuple(texts[i].lower().replace("á", "a").split()) for i in own})
+    a, b = (p.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    x = a.crossJoin(b).where("a < b")
+    alike = {tuple(r) for r in om.verified(x.select("a", "b"), om.forms(rows), [(0.65, 40)]).collect()}
+    may = {(r.a, r.b) for r in x.where(om.may_be_alike("a", "b", 0.65)).collect()}
+    assert alike and alike <= may and len(may) < x.count()

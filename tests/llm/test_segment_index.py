@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jobloom.llm import segment_index
 from jobloom.llm.segment_index import SegmentIndex, as_entries, link_entries
 
 
@@ -116,3 +117,25 @@ def test_unfinished_loads_do_not_count(spark, tmp_path):
     assert index.result().count() == 0
     index.add(rows, own)
     assert [tuple(r) for r in index.result().collect()] == [(1, "k", 1)]
+
+
+def test_open_rows_of_a_scope_are_not_written_as_pairs(spark, tmp_path, monkeypatch):
+    """Rows without block, all of one text and scope: neither strangers nor copies make pairs that grow with the square."""
+    written = {}
+
+    def counted(df, name):
+        x = segment_index_staged(df, name)
+        written[name] = written.get(name, 0) + (x.count() if name == "batch-pairs" else 0)
+        return x
+
+    segment_index_staged = segment_index.staged
+    monkeypatch.setattr(segment_index, "staged", counted)
+    rnd = random.Random(11)
+    strangers = [(i, None, "analista de dados", None, [4], " ".join(f"w{rnd.randrange(9999)}" for _ in range(40))) for i in range(100)]
+    copies = [(100 + i, None, "analista de dados", None, [4], "Olá MUNDO de hoje" if i % 2 else "ola mundo de hoje") for i in range(100)]
+    late = [(300, None, "analista de dadas", None, [4], "ola mundo de hoje"), (301, None, "analista de dados", 7, [4], "ola mundo de hoje"), (302, None, "analista de dados", 7, [4], None)]
+    for rows in (strangers + copies, late):
+        SegmentIndex(spark, str(tmp_path / "ix"), least=0.65).add(*given(spark, rows))
+    got = {r.ord: r.label for r in SegmentIndex(spark, str(tmp_path / "ix")).result().collect()}
+    assert got == {i: i for i in range(100)} | dict.fromkeys([*range(100, 200), 300, 301, 302], 100)
+    assert written["batch-pairs"] < 10
