@@ -166,3 +166,41 @@ def test_profiles_rule_out_no_alike_pair(spark):
     alike = {tuple(r) for r in om.verified(x.select("a", "b"), om.forms(rows), [(0.65, 40)]).collect()}
     may = {(r.a, r.b) for r in x.where(om.may_be_alike("a", "b", 0.65)).collect()}
     assert alike and alike <= may and len(may) < x.count()
+
+
+def test_counts_rule_out_strangers_only(spark):
+    """What is ruled out before a text is moved is never a pair that is alike; most strangers are."""
+    rnd = np.random.default_rng(11)
+    base = rnd.integers(0, 65536, (6, 120))
+    forms = [np.where(rnd.random(120) < rnd.random() * 0.5, rnd.integers(0, 65536, 120), base[i % 6])[: rnd.integers(1, 121)].astype("<u2") for i in range(60)] + [np.full(9, 7, "<u2"), np.full(8, 7, "<u2"), np.full(3, 7, "<u2")]
+    s = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(forms)], "id long, form binary")
+    x = s.select(F.col("id").alias("a")).crossJoin(s.select(F.col("id").alias("b"))).where("a < b")
+    rules = [(0.65, 32), (0.9, 32)]  # odd ids must be more alike
+    alike = {tuple(r) for r in om.verified(x, s, rules).collect()}
+    may = {tuple(r) for r in om.possible(x, s, rules).collect()}
+    assert (60, 61) in alike and (60, 62) not in may and len(alike) > 30
+    assert alike <= may and len(may - alike) < 0.2 * (x.count() - len(alike))
+    assert om.possible(x.limit(0), s, rules).count() == 0
+
+
+def test_all_of_a_scope_are_compared(spark):
+    """No sketch is asked in a small scope: these two share no key. Larger scopes are left to the sketches."""
+    texts = ["Inglês avançado, com entrevista nesse idioma", "Ingles avançado, em geral com entrevista nesse idioma"]
+    rows = [(4, texts[0], 1), (8, texts[1], 1), (8, texts[1], 1), (12, "Outra coisa", 1), (16, texts[0], 2), (20, None, 1), (24, "--", 1), (28, texts[0], None)]
+    rows += [(100 + i, texts[0], 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, text string, scope long")
+    assert om.linked(om.sketched(df.where("scope = 1"), "letters", 4, 2, 12), "s", [(0.8, 16)]).count() == 0
+    links, rest = om.linked_in_scopes(df, "letters", [(0.8, 16)], most=5)
+    assert {tuple(r) for r in rest.collect()} == {(4, texts[0], 1), (8, texts[1], 1), (12, "Outra coisa", 1), (24, "--", 1)}
+    assert {tuple(r) for r in links.collect()} == {(100 + i, 100 + j) for i in range(5) for j in range(i + 1, 5)}
+    links, rest = om.linked_in_scopes(df, "letters", [(0.8, 16)], most=6)
+    assert rest.count() == 0 and {(4, 8)} == {tuple(r) for r in links.where("a < 100").collect()} and links.count() == 11
+
+
+def test_smallest_ids_are_not_compared_again(spark):
+    """A bucket's smallest id has met all others as a star, so only the others are looked at, and only if their classes differ."""
+    f = b"\1\0\2\0"
+    s = spark.createDataFrame([(i, [5], f) for i in (1, 2, 3)] + [(i, [6], f) for i in (4, 5, 6)], "id long, keys array<long>, form binary")
+    met = om.stars(s)
+    links = spark.createDataFrame([(5, 6)], "a long, b long")
+    assert {tuple(r) for r in om.remaining(s, met, links, [(0.8, 8)]).collect()} == {(2, 3)}
